@@ -10,8 +10,13 @@ from pyspark.sql import Window
 UNKNOWN = "und"
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, chars_per_doc: int = 2000, max_langs: int = 64) -> dict[str, bytes]:
-    """Raw dictionary contents by language.
+def letters(text):
+    """What is compared: lower case, with all but letters as single spaces."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, chars_per_doc: int = 1000, max_langs: int = 64) -> dict[str, bytes]:
+    """Raw dictionary contents by language, the most frequent first.
 
     The bound of what is learned from: docs_per_lang documents of each language, drawn by the hash of
     their text, and of each at most chars_per_doc characters from its middle; the max_langs most
@@ -25,24 +30,24 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_
     h = F.xxhash64("text")
     drawn = rows.where(F.pmod(h, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     at = F.greatest(F.lit(1), F.floor((F.length("text") - chars_per_doc) / 2).cast("int"))
-    some = drawn.select("lang", h.alias("h"), F.substring("text", at, F.lit(chars_per_doc)).alias("text")).distinct()
+    some = drawn.select("lang", h.alias("h"), letters(F.substring("text", at, F.lit(chars_per_doc))).alias("text")).distinct()
     top = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_lang)
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[str]] = {r.lang: [] for r in counts}
     for r in top.orderBy("lang", F.desc("r")).collect():
-        out.setdefault(r.lang, []).append(r.text)
-    return {k: "\n".join(v).encode() for k, v in sorted(out.items())}
+        out[r.lang].append(r.text)
+    return {k: " ".join(v).encode() for k, v in out.items() if v}
 
 
 class Classifier:
     """Sizes of a text under each language's dictionary, in blocks of whole bytes that cover it all."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3, block: int = 4096):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 6, block: int = 4096):
         import zstandard as z
 
         self.langs, self.block = list(dictionaries), block
         self.packers = []
-        params = z.ZstdCompressionParameters.from_level(level, source_size=block, write_content_size=False, write_checksum=False, write_dict_id=False)
         for content in dictionaries.values():
+            params = z.ZstdCompressionParameters.from_level(level, source_size=block, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             self.packers.append(z.ZstdCompressor(dict_data=d, compression_params=params))
@@ -70,7 +75,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     """
     spark = df.sparkSession
     models = spark.sparkContext.broadcast(dictionaries)  # max_langs times docs_per_lang times chars_per_doc at most
-    few = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).cast("binary").alias("t"))
+    few = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.when(F.col(text_col).rlike(r"\p{L}"), letters(F.col(text_col))).cast("binary").alias("t"))
     schema = few.drop("t").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches):

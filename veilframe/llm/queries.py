@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lattice_lm, packing, simhash
+from . import bpe, chat, jpeg, langid, lattice_lm, packing, simhash
 from ._common import ship
 
 
@@ -23,6 +23,18 @@ def op2_lm_scoring(spark, sf_dir):
     return lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"), langid.fold("doc_id", 5) != 1)
 
 
+def op4_chat_formatting(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.format_rows(rows.union(own)))
+
+
+def op5_progressive_jpeg(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jpeg.features(jpeg.store(docs))
+
+
 def op6_byte_bpe(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
@@ -53,5 +65,24 @@ def queries():
     return {k: _shipped(f) for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_OP4_SQL = r"""
+with rows as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), wide as (
+    select *, len(replace(replace(text, '\', '\\'), '<', '\l')) as text_chars,
+        len(replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g'), chr(10), '\n')) as role_chars
+    from rows
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+    cast(coalesce(sum(len(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(text_chars + role_chars + 15) as bigint) as formatted_chars
+from wide group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": _OP4_SQL}
