@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jpeg, langid, lattice_lm, packing, simhash
+from . import bpe, chat, jpeg, langid, lattice_lm, linededup, packing, simhash, suffixes
 from ._common import ship
 
 
@@ -23,6 +23,11 @@ def op2_lm_scoring(spark, sf_dir):
     return lattice_lm.score(docs, public_tokenizers.path("piece_bpe_32k.model"), langid.fold("doc_id", 5) != 1)
 
 
+def op3_line_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.report(docs)
+
+
 def op4_chat_formatting(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -48,6 +53,12 @@ def op7_language_id(spark, sf_dir):
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffixes.passages(docs)
+    return found.select("doc_id", F.col("lo").alias("start_word"), (F.col("hi") - F.col("lo")).alias("n_words"), "dropped", F.col("first").alias("first_doc_id"))
+
+
 def op10_simhash(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs)
