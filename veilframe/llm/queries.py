@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jpeg, langid, lattice_lm, linededup, packing, simhash, suffixes
+from . import bpe, chat, jpeg, langid, lattice_lm, linededup, packing, pq, simhash, suffixes
 from ._common import ship
 
 
@@ -59,6 +59,10 @@ def op8_suffix_dedup(spark, sf_dir):
     return found.select("doc_id", F.col("lo").alias("start_word"), (F.col("hi") - F.col("lo")).alias("n_words"), "dropped", F.col("first").alias("first_doc_id"))
 
 
+def op9_embedding_dedup(spark, sf_dir):
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_simhash(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs)
