@@ -93,3 +93,10 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
 def fold(id_col: str, n: int):
     """crc32 of an id as text, modulo n; a null id is in fold 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n)), F.lit(0))
+
+
+def accepted(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.004) -> DataFrame:
+    """The rows of df whose text is not rejected, all columns as they are."""
+    whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(text_col).alias("_t"))
+    kept = classify(whole, dictionaries, "_t", ("row",), min_margin).where(~F.col("rejected"))
+    return kept.select("row.*")

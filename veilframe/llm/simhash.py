@@ -1,14 +1,16 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Every document has a 64-bit fingerprint. Correlated bits are grouped into partitions; a dynamic
-program gives each partition its own threshold, of which the sum guarantees that two fingerprints
-within the radius agree up to that threshold in some partition. Fingerprints meet in buckets of what
-they then share, are verified there, and buckets that are too full are dealt out again by the
-remaining bits, so that no group grows with the data.
+Every document has a 64-bit fingerprint, and where asked for a longer one to verify with. Correlated
+bits are grouped into partitions; a dynamic program gives each partition its own threshold, of which
+the sum guarantees that two fingerprints within the radius agree up to that threshold in some
+partition. Fingerprints meet in buckets of what they then share and are verified there; buckets that
+are too full are cut into blocks that meet in pairs, and only a spanning forest of the links leaves
+a bucket, so that neither a task nor the result grows with the square of a group.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 from math import comb
 
@@ -23,23 +25,27 @@ SEED = 42
 _ALL = (1 << 64) - 1
 
 
-def fingerprint(text: bytes | None, n: int = 3) -> int:
-    """The unsigned fingerprint of a UTF-8 text; 0 for a null text or one without words."""
+def fingerprint(text: bytes | None, n: int = 3, words: int = 1) -> list[int]:
+    """The unsigned 64-bit words of a UTF-8 text's fingerprint; zeros for a null text or one without words."""
     import xxhash
 
     w = (text or b"").lower().split()
     if not w:
-        return 0
+        return [0] * words
     if len(w) < n:
         shingles = [b" ".join(w)]
     else:
         shingles = list(map(b" ".join, zip(*(w[i:] for i in range(n)))))
     digest = xxhash.xxh64_intdigest
-    total, bits = len(shingles), np.zeros(64, np.int64)
+    total, bits = len(shingles), np.zeros((words, 64), np.int64)
     for at in range(0, total, 1 << 16):
         h = np.array([digest(s, SEED) for s in shingles[at : at + (1 << 16)]], np.uint64)
-        bits += _ones(h)
-    return int(np.packbits(bits * 2 > total, bitorder="little").view(np.uint64)[0])
+        bits[0] += _ones(h)
+        for i in range(1, words):  # further words from the same hashes, mixed anew
+            x = (h ^ np.uint64(i * 0x9E3779B97F4A7C15 & _ALL)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            bits[i] += _ones(x ^ (x >> np.uint64(32)))
+    return np.packbits(bits * 2 > total, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
 def _ones(h: np.ndarray) -> np.ndarray:
@@ -50,20 +56,26 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return np.concatenate(sums).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 3) -> DataFrame:
-    """The kept columns and `fp`, the fingerprint as a signed long; one row per row.
+def with_fingerprint(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), n: int = 3, words: int = 1) -> DataFrame:
+    """The kept columns, `fp`, the fingerprint as a signed long, and w1 and so on, its further words; one row per row.
 
-    Words are maximal runs of bytes that are not ASCII white space, with A-Z in lower case.
+    Words of a text are maximal runs of bytes that are not ASCII white space, with A-Z in lower case.
     """
     few = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("binary").alias("t"))
-    schema = few.drop("t").schema.add("fp", "long")
+    schema, names = few.drop("t").schema, ["fp", *_more(words)]
+    for c in names:
+        schema = schema.add(c, "long")
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, n) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
+            fp = np.array([fingerprint(t, n, words) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).reshape(-1, words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], names=schema.names)
 
-    return few.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "fp")
+    return few.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *names)
+
+
+def _more(words: int) -> list[str]:
+    return [f"w{i}" for i in range(1, words)]
 
 
 def bit_partitions(co: np.ndarray, ones: np.ndarray, n: int, m: int) -> list[int]:
@@ -104,6 +116,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+ROW, PAIR = 200.0, 1.0  # what a row in a bucket and a comparison cost, as measured
+MOST_MASKS = 600
+
+
 def plan(nodes: DataFrame, radius: int) -> list[int]:
     """The masks of which two fingerprints within the radius share one; counts are over all fingerprints."""
 
@@ -118,30 +134,31 @@ def plan(nodes: DataFrame, radius: int) -> list[int]:
             n += len(h)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097)), pa.array(np.append(co.ravel(), n))], names=["cell", "n"])
 
-    cells = nodes.select("fp").mapInArrow(stats, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(4097, np.int64)
-    for r in cells:
+    for r in nodes.select("fp").mapInArrow(stats, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4097 rows
         flat[r.cell] = r.n
-    co, n = flat[:4096].reshape(64, 64), int(flat[4096])
+    return masks_for(flat[:4096].reshape(64, 64), int(flat[4096]), radius)
+
+
+def masks_for(co: np.ndarray, n: int, radius: int) -> list[int]:
+    """The masks of least estimated cost; co counts the fingerprints in which two bits are both set."""
     ones = np.diagonal(co).copy()
-    flips = 2 * (ones / max(n, 1)) * (1 - ones / max(n, 1))
+    p = ones / max(n, 1)
+    same = p**2 + (1 - p) ** 2  # the odds that two fingerprints agree in a bit
     choices = []
-    options = {m: bit_partitions(co, ones, n, m) for m in (radius, radius + 1) if m > 1}
-    masks = [x for m in options for x in options[m]]
-    if not masks:
-        return [0]
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(x))).alias("k")) for i, x in enumerate(masks)])
-    met = dict(nodes.select(F.explode(keys).alias("x")).groupBy("x").agg(F.count("*").alias("c")).groupBy("x.i").agg(F.sum(F.col("c").cast("double") ** 2).alias("s")).collect())
-    at = 0
-    for m, own in options.items():
-        costs = []
+    for m in range(max(1, (radius + 1) // 3), radius + 2):
+        own, costs = bit_partitions(co, ones, n, m), []
         for x in own:
-            same = max(float(met.get(at, 0.0)) - n, 0.0)
-            at += 1
-            odds = np.array([min(flips[b] / max(1 - flips[b], 1e-6), 1.0) for b in _bits(x)])
-            grown = [same * (1 + odds.sum()) if e == 1 else same * (1 + odds.sum()) ** e for e in range(radius + 1)]
-            costs.append([0.0] + [4.0 * n * comb(len(odds), e) + g for e, g in enumerate(grown)])
-        choices.append((*allocate(costs, radius - m + 1), own))
+            bits = _bits(x)
+            row = [0.0]
+            for e in range(radius - m + 2 if len(bits) else 1):
+                # Agreement but for e bits: the sum over all ways to leave out e of them.
+                agree = np.prod(same[bits]) * _elementary(1 / np.maximum(same[bits], 0.5), e)
+                row.append(n * comb(len(bits), e) * ROW + PAIR * n * n / 2 * agree)
+            costs.append(row)
+        cost, thresholds = allocate(costs, radius - m + 1)
+        if sum(comb(len(_bits(x)), t) for x, t in zip(own, thresholds) if t >= 0) <= MOST_MASKS:
+            choices.append((cost, thresholds, own))
     _, thresholds, own = min(choices, key=lambda c: c[0])
     out = []
     for t, x in zip(thresholds, own):
@@ -150,83 +167,142 @@ def plan(nodes: DataFrame, radius: int) -> list[int]:
     return out
 
 
-def links(nodes: DataFrame, radius: int = 2, full: int = 256) -> DataFrame:
-    """Edges (u, v) of structs (m, fp) that join all fingerprints within the radius.
+def _elementary(x: np.ndarray, e: int) -> float:
+    """The elementary symmetric polynomial of degree e."""
+    out = np.zeros(e + 1)
+    out[0] = 1
+    for v in x:
+        out[1:] = out[1:] + v * out[:-1]
+    return float(out[e])
+
 
-    nodes has the distinct `fp` and `m`, which orders them. The edges are a spanning forest of each
-    bucket, not all its pairs. A bucket with more than `full` members is dealt out again: its
-    remaining bits are cut into radius + 1 parts, of which two near members share one.
+def links(nodes: DataFrame, radius: int = 2, words: int = 1, verify: int | None = None, block: int = 2048) -> DataFrame:
+    """Edges (u, v) of structs (m, id) that join all fingerprints within the radius.
+
+    nodes has m, which orders them, id, fp and the further words of distinct fingerprints. The edges
+    are a spanning forest of each bucket, not all its pairs. With `verify`, all words together may
+    differ in so many bits at most. A bucket with more than `block` members is cut into blocks of
+    half that size on average, of which any two meet.
     """
-    masks = plan(nodes, radius)
-    rows, found, depth = nodes, [], 0
-    level = rows.select("m", "fp", F.posexplode(F.array(*[F.lit(_signed(x)) for x in masks])).alias("path", "mask"))
-    while True:
-        keyed = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        counts = keyed.groupBy("mask", "key").agg(F.count("*").alias("c")).where("c > 1")
-        counts = written(counts, "simhash-buckets")
-        small = keyed.join(counts.where(F.col("c") <= full), ["mask", "key"], "left_semi")
-        groups = small.groupBy("mask", "key").agg(F.collect_list(F.struct("m", "fp")).alias("g"))
-        found.append(groups.select("g").mapInArrow(lambda it: _forest(it, radius), "um long, uf long, vm long, vf long"))
-        if not counts.where(F.col("c") > full).limit(1).count():
-            break
-        depth += 1
-        hot = keyed.join(counts.where(F.col("c") > full), ["mask", "key"], "left_semi")
-        parts = []
-        for x in [r.mask & _ALL for r in counts.where(F.col("c") > full).select("mask").distinct().collect()]:
-            rest = _bits(_ALL & ~x)
-            cuts = [rest[i :: radius + 1] for i in range(radius + 1)]
-            own = [x | sum(1 << b for b in cut) for cut in cuts]
-            parts.append((x, own))
-        nxt = F.create_map(*[c for x, own in parts for c in (F.lit(_signed(x)), F.array(*[F.lit(_signed(y)) for y in own]))])
-        level = written(hot.select("m", "fp", F.explode(nxt[F.col("mask")]).alias("mask")).distinct(), "simhash-hot").withColumn("path", F.lit(depth))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select(F.struct(F.col("um").alias("m"), F.col("uf").alias("fp")).alias("u"), F.struct(F.col("vm").alias("m"), F.col("vf").alias("fp")).alias("v")).distinct()
-
-
-def _forest(batches, radius: int):
-    """For each list of (m, fp), the edges of a spanning forest of the graph of near fingerprints."""
-    for b in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for g in b.column(0).to_pylist():
-            m, f = [x["m"] for x in g], np.array([x["fp"] for x in g], np.int64).view(np.uint64)
-            left = np.ones(len(f), bool)
-            while left.any():
-                stack = [int(np.argmax(left))]
-                left[stack[0]] = False
-                while stack:
-                    i = stack.pop()
-                    near = np.flatnonzero(left & (np.bitwise_count(f ^ f[i]) <= radius))
-                    left[near] = False
-                    for j in near.tolist():
-                        out.append((m[i], g[i]["fp"], m[j], g[j]["fp"]))
-                        stack.append(j)
-        cols = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["um", "uf", "vm", "vf"])
+    masks, cols = plan(nodes, radius), ["m", "id", "fp", *_more(words)]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(x)))) for i, x in enumerate(masks)])
+    rows = nodes.select(*cols, F.explode(keys).alias("key"))
+    counts = written(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "simhash-buckets")
+    small = rows.join(counts.where(F.col("c") <= block), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct(*cols)).alias("g")).select("g")
+    full = counts.where(F.col("c") > block).select("key", F.ceil(F.col("c") * 2 / block).cast("int").alias("nb"))
+    n_full = full.count()
+    if n_full:
+        hot = rows.join(F.broadcast(full) if n_full <= 100_000 else full, "key")
+        b = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+        others = F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: i != F.col("b"))
+        dealt = hot.withColumn("b", b).select(*cols, "key", F.explode(F.transform(others, lambda i: F.struct(F.least(i, F.col("b")).alias("i"), F.greatest(i, F.col("b")).alias("j")))).alias("at"))
+        small = small.union(dealt.groupBy("key", "at").agg(F.collect_list(F.struct(*cols)).alias("g")).select("g"))
+    out = small.mapInArrow(lambda it: _forests(it, radius, words, verify), "um long, ui long, vm long, vi long")
+    return out.select(F.struct(F.col("um").alias("m"), F.col("ui").alias("id")).alias("u"), F.struct(F.col("vm").alias("m"), F.col("vi").alias("id")).alias("v")).distinct()
+
+
+def near(f: np.ndarray, radius: int, verify: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (i < j) within the radius; f has a column for each word."""
+    i, j = [], []
+    for at in range(0, len(f), 256):
+        a, b = np.nonzero(np.bitwise_count(f[at : at + 256, None, 0] ^ f[None, at:, 0]) <= radius)
+        up = b > a
+        a, b = a[up] + at, b[up] + at
+        if verify is not None:
+            use = np.bitwise_count(f[a] ^ f[b]).sum(axis=1, dtype=np.int64) <= verify
+            a, b = a[use], b[use]
+        i.append(a)
+        j.append(b)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph of these pairs."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def _forests(batches, radius: int, words: int, verify: int | None):
+    """For each list of members, the edges of a spanning forest of the graph of near fingerprints."""
+    for batch in batches:
+        g = batch.column(0)
+        ends = g.offsets.to_numpy()
+        every = [x.to_numpy() for x in g.values.flatten()]
+        out = [np.zeros((0, 4), np.int64)]
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            m, ids = every[0][lo:hi], every[1][lo:hi]
+            i, j = near(np.stack([x[lo:hi] for x in every[2:]], 1).view(np.uint64), radius, verify)
+            if len(i):
+                a, b = np.array(forest(len(m), i, j)).T
+                out.append(np.stack([m[a], ids[a], m[b], ids[b]], 1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in np.concatenate(out).T], names=["um", "ui", "vm", "vi"])
 
 
 _LAST = (1 << 63) - 1
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, radius: int = 2, keep: tuple[str, ...] = (), words: int = 1, verify: int | None = None
+) -> DataFrame:
     """One row per document: id, the kept columns, fingerprint (16 hex digits), component_id.
 
-    component_id is the least id reachable over fingerprints with at most `radius` differing bits.
-    Null and wordless texts have fingerprint zero and link like any other. Repeated rows are rows of
+    component_id is the least id reachable over fingerprints with at most `radius` differing bits
+    and, with `verify`, at most so many in all `words` words of the longer fingerprint. Null and
+    wordless texts have fingerprint zero and link like any other. Repeated rows are rows of
     the same component; rows with a null id count last, and a component of such rows alone has a
     null component_id. An empty table gives no rows; other columns are ignored.
     """
     cols = tuple(dict.fromkeys((id_col, *keep)))
-    marked = written(with_fingerprint(df, text_col, cols, n), "simhash-fp")
-    nodes = marked.groupBy("fp").agg(F.coalesce(F.min(F.col(id_col).cast("long")), F.lit(_LAST)).alias("m"))
-    nodes = written(nodes, "simhash-nodes")
-    parts = connected_components(links(nodes, radius))
-    labels = parts.select(F.col("node.fp").alias("fp"), F.col("component.m").alias("least"))
-    labels = nodes.join(labels, "fp", "left").select("fp", F.coalesce("least", "m").alias("least"))
-    out = marked.join(labels, "fp")
+    every = ["fp", *_more(words)]
+    marked = written(with_fingerprint(df, text_col, cols, n, words), "simhash-fp")
+    node = F.col("fp") if words == 1 else F.xxhash64(*every)
+    nodes = marked.groupBy(*every).agg(F.coalesce(F.min(F.col(id_col).cast("long")), F.lit(_LAST)).alias("m"))
+    nodes = written(nodes.withColumn("id", node), "simhash-nodes")
+    parts = connected_components(links(nodes, radius, words, verify))
+    labels = parts.select(F.col("node.id").alias("id"), F.col("node.m").alias("m"), F.col("component.m").alias("least"))
+    labels = nodes.join(labels, ["id", "m"], "left").select(*every, F.coalesce("least", "m").alias("least"))
+    out = marked.join(labels, every)
     return out.select(
         *cols,
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("least") != _LAST, F.col("least")).alias("component_id"),
     )
+
+
+def similar_bits(similarity: float, bits: int) -> int:
+    """How many of so many bits differ between sets of that Jaccard similarity and equal size, on average."""
+    cosine = 2 * similarity / (1 + similarity)
+    return int(math.acos(cosine) / math.pi * bits)
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, spare: int = 1, words: int = 4) -> DataFrame:
+    """df with one document of each group of near-duplicates: that of the least id (nulls last, then of the least text hash).
+
+    Documents are linked if their fingerprints of n-word shingles say a similarity of that or more:
+    by all their words, met over a radius on the first word with `spare` bits for what chance adds
+    there. Rows with the same id and text are one document and stay or go together, and so do rows
+    with a null id that are linked with no other. Null and wordless texts have nothing to compare
+    and stay.
+    """
+    names = df.columns
+    wordless = ~F.coalesce(F.col(text_col).cast("binary").cast("string").rlike("[^ \\t-\\r]"), F.lit(False))
+    some = df.where(~wordless)
+    radius = similar_bits(similarity, 64) + spare
+    found = near_duplicates(some.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("t")), "d", "x", n, radius, ("t",), words, similar_bits(similarity, 64 * words))
+    first = found.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "t")).alias("f"), F.count("*").alias("k"))
+    gone = found.join(first.where("k > 1 and c is not null"), F.col("component_id") == F.col("c")).where(~(F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t")))).select("d", "t").distinct()
+    gone = gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"))
+    return df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_d"]) & (F.xxhash64(df[text_col]) == gone["_t"]), "left_anti").select(*names)
