@@ -37,8 +37,9 @@ class Words:
         known, digest = self.known, xxhash.xxh64_intdigest
         if len(known) > self.limit:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = digest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = digest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
