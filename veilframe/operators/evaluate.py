@@ -120,7 +120,8 @@ def _share(a: Column, b: Column) -> Column:
 
 
 def match_rows(evaluated: DataFrame, *keys: str) -> DataFrame:
-    return evaluated.select(*keys, F.explode("matches").alias("m")).select(*keys, "m.*")
+    # Outer, as Spark would else also compute the matches for a filter on their number before it.
+    return evaluated.select(*keys, F.explode_outer("matches").alias("m")).where("m is not null").select(*keys, "m.*")
 
 
 def overall_metrics(evaluated: DataFrame) -> DataFrame:
