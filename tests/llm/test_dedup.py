@@ -134,6 +134,51 @@ def test_passages_against_brute_force(spark):
     assert want <= inside and len(inside - want) <= 0.02 * len(want)
 
 
+@pytest.mark.parametrize("most", [8, 16_384])
+def test_passages_of_hot_keys_against_brute_force(spark, most):
+    """Pairs that have own words and a common text in common lie far apart among those who have only that text."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+
+    def own(n):
+        return [rng.choice(words) for _ in range(n)]
+
+    def least_key(w):
+        return suffixes.minimisers(suffixes.Words()([x.encode() for x in w]), 8, 4)[1].min()
+
+    common = min((own(8) for _ in range(300)), key=least_key)  # the minimiser of most windows is in it
+    rows = [[*own(12), *common, *own(12)] for _ in range(300)]
+    for i in range(0, 80, 2):  # before the common text, so that what follows it sorts them apart
+        rows[i + 1][8:12] = rows[i][8:12]
+    order = list(range(300))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(i, " ".join(rows[i])) for i in order] + [(None, " ".join(rows[81]))], "doc_id long, text string")
+    rows = {i: r for i, r in enumerate(rows)} | {None: rows[81]}
+    few = {"spark.sql.shuffle.partitions": "16", "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}  # ranges end inside keys
+    before = {c: spark.conf.get(c) for c in few}
+    try:
+        for c, v in few.items():
+            spark.conf.set(c, v)
+        found = suffixes.passages(df, words=12, k=4, most=most).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    inside = {(r.doc_id, p): r.dropped for r in found for p in range(r.lo, r.hi)}
+    grams = {}
+    for i, r in rows.items():
+        for p in range(len(r) - 11):
+            grams.setdefault(tuple(r[p : p + 12]), []).append((i, p))
+    last = lambda i: 10**6 if i is None else i
+    want = {}
+    for own in grams.values():
+        if len({i for i, _ in own}) > 1:
+            least = min(last(i) for i, _ in own)
+            for i, p in own:
+                for q in range(p, p + 12):
+                    want[i, q] = want.get((i, q), False) or last(i) > least
+    assert len(want) >= 80 * 12 and inside == want
+
+
 def vectors(rng):
     base = rng.normal(size=(150, 16))
     near = base[:60] + 0.12 * rng.normal(size=(60, 16))

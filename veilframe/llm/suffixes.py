@@ -3,8 +3,10 @@
 Of each document only the suffixes at minimiser positions are kept: in every window of `words` words,
 the one that starts the `k` words of least hash. Two equal passages of that length keep a suffix at
 the same place. The suffixes of the corpus are sorted over range partitions, neighbours are compared,
-and a match is extended word by word to the right and to the left. Contexts are two bytes a word, so
-that a span may rarely (once in 65,536 ends) be a word too long; the key of `k` words has 64 bits.
+and a match is extended word by word to the right and to the left. Keys of very many suffixes, and
+those where one range ends and the next begins, are matched by grouping the hashes of all windows
+around their suffixes instead, in partitions of their own. Contexts are two bytes a word, so that a
+span may rarely (once in 65,536 ends) be a word too long; the key of `k` words has 64 bits.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import fits, written
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_KIND = "key long, r binary, l binary, d long, t long, pos int, n int"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,7 +94,7 @@ def suffixes(df: DataFrame, id_col: str, text_col: str, words: int, k: int) -> D
                 own = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *fixed, part.column(0).take(own), part.column(1).take(own), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32))], names=names)
 
-    return few.mapInArrow(run, "key long, r binary, l binary, d long, t long, pos int, n int")
+    return few.mapInArrow(run, _KIND)
 
 
 class Rows:
@@ -110,18 +113,6 @@ class Rows:
 
         return cls(b.column(0).to_numpy(), wide(b.column(1), words), wide(b.column(2), before), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(), b.column(5).to_numpy(), b.column(6).to_numpy())
 
-    def pack(self, i: int) -> bytes:
-        d = self.d[i]
-        null = d is None or d != d
-        return self.r[i].tobytes() + self.l[i].tobytes() + np.array([self.key[i], null, 0 if null else d, self.t[i], self.pos[i], self.n[i]], np.int64).tobytes()
-
-    @classmethod
-    def unpack(cls, e, words: int, before: int) -> Rows:
-        raw = bytes(e.row)
-        r, l = np.frombuffer(raw, np.uint16, words), np.frombuffer(raw, np.uint16, before, 2 * words)
-        key, null, d, t, pos, n = np.frombuffer(raw[2 * (words + before) :], np.int64)
-        return cls(np.array([key]), r[None], l[None], np.array([None if null else int(d)], object), np.array([t]), np.array([pos]), np.array([n]))
-
     def take(self, i) -> Rows:
         return Rows(*(x[i] for x in self.all))
 
@@ -151,9 +142,8 @@ class Rows:
         return common(self.l, self.reach_l), common(self.r, self.reach_r)
 
 
-def _shared_windows(rows: Rows, words: int, k: int) -> list[tuple[np.ndarray, int, int]]:
-    """For a few suffixes of one key: (rows, words before, words after) of each window of `words` that different documents share."""
-    out = []
+def _windows(rows: Rows, words: int, k: int):
+    """For each number of words after the start of a suffix: (after, rows that have the window of `words` words, its hashes)."""
     pr = [np.zeros(len(rows.key), np.uint64)]
     for x in rows.r.T:
         pr.append(pr[-1] * _P + x + np.uint64(1))
@@ -163,13 +153,19 @@ def _shared_windows(rows: Rows, words: int, k: int) -> list[tuple[np.ndarray, in
     for after in range(k, words + 1):
         before = words - after
         use = np.flatnonzero((rows.reach_r >= after) & (rows.reach_l >= before))
+        yield after, use, _mix(pr[after][use]) * _P + pl[before][use]
+
+
+def _shared_windows(rows: Rows, words: int, k: int) -> list[tuple[np.ndarray, int, int]]:
+    """For suffixes of one key: (rows, words before, words after) of each window of `words` that different documents share."""
+    out = []
+    for after, use, h in _windows(rows, words, k):
         if len(use) < 2:
             continue
-        h = _mix(pr[after][use]) * _P + pl[before][use]
         order = np.argsort(h, kind="stable")
         for part in np.split(use[order], np.flatnonzero(np.diff(h[order])) + 1):
             if len(part) > 1 and not rows.same_document(part[0], part).all():
-                out.append((part, before, after))
+                out.append((part, words - after, after))
     return out
 
 
@@ -267,134 +263,131 @@ def _link(rows: Rows, words: int, k: int) -> Linked:
     return out
 
 
-def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8) -> DataFrame:
+def _apart(rows: DataFrame, words: int, k: int) -> DataFrame:
+    """Matches of suffixes however many there are of a key, in the columns of matches(): those that have a window in common with another document.
+
+    Windows are grouped by key, words from the suffix on, and hash; partial minima of the documents
+    leave a task. A run has the rows of a key of which the windows' first document is the same.
+    """
+    before = words - k
+
+    def each(batches):
+        for b in batches:
+            if b.num_rows:
+                x = Rows.of(b, words, before)
+                null = np.array(b.column(3).is_null())
+                d = np.where(null, 0, np.array(b.column(3).fill_null(0)))
+                yield x, null, d, [(after, use, h.view(np.int64)) for after, use, h in _windows(x, words, k)]
+
+    def table(names, *cols):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+    def ends(batches):
+        names = ["key", "after", "h", "an", "ad", "at", "zn", "zd", "zt"]
+        for x, null, d, found in each(batches):
+            rank = x.rank()
+            for after, use, h in found:
+                if not len(use):
+                    continue
+                order = np.lexsort((rank[use], h, x.key[use]))
+                key, h, i = x.key[use][order], h[order], use[order]
+                lead = np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]))
+                first, last = i[lead], i[np.append(lead[1:], True)]
+                docs = [c[w] for w in (first, last) for c in (null, d, x.t)]
+                yield table(names, key[lead], np.full(len(first), after, np.int32), h[lead], *docs)
+
+    def all_of(batches):
+        names = ["key", "after", "h", "n", "d", "t", "pos"]
+        for x, null, d, found in each(batches):
+            for after, use, h in found:
+                yield table(names, x.key[use], np.full(len(use), after, np.int32), h, null[use], d[use], x.t[use], x.pos[use])
+
+    docs = rows.mapInArrow(ends, "key long, after int, h long, an boolean, ad long, at long, zn boolean, zd long, zt long")
+    ranges = docs.groupBy("key", "after", "h").agg(F.min(F.struct("an", "ad", "at")).alias("a"), F.max(F.struct("zn", "zd", "zt")).alias("z"))
+    differ = (F.col("a.an") != F.col("z.zn")) | (F.col("a.ad") != F.col("z.zd")) | (F.col("a.at") != F.col("z.zt"))
+    shared = written(ranges.where(differ).select("key", "after", "h", "a"), "suffix-windows")
+    side = F.broadcast(shared) if fits(shared, 100_000) else shared
+    own = rows.mapInArrow(all_of, "key long, after int, h long, n boolean, d long, t long, pos int").join(side, ["key", "after", "h"])
+    own = own.groupBy("key", "n", "d", "t", "pos", "a").agg(F.max(F.lit(words) - F.col("after")).alias("l"), F.max("after").alias("r"))
+    lo, hi = F.col("pos") - F.col("l"), F.col("pos") + F.col("r")
+    later = (F.col("a.an") != F.col("n")) | (F.col("a.ad") != F.col("d")) | (F.col("a.at") != F.col("t"))
+    run = F.xxhash64("key", "a.an", "a.ad", "a.at").bitwiseOR(F.lit(-(1 << 63)))  # below 0, where no other run is
+    glo, ghi = F.when(later, lo).otherwise(F.col("pos")), F.when(later, hi).otherwise(F.col("pos"))
+    spans = [lo.alias("lo"), hi.alias("hi"), glo.alias("glo"), ghi.alias("ghi"), lo.alias("slo"), hi.alias("shi")]
+    return own.select(run.alias("run"), F.when(~F.col("n"), F.col("d")).alias("d"), "t", *spans, F.lit(True).alias("mixed"))
+
+
+def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8, most: int = 16_384) -> DataFrame:
     """A row for each kept suffix in a passage that another document has too: run, d, t, and spans (words, from 0, without the end).
 
     All rows of a run have a passage of at least `words` words in common with another row of it.
     lo to hi is what other documents have, glo to ghi what an earlier one has as far as seen (else
-    empty), slo to shi what all rows that it was compared with have; mixed runs have several passages.
+    empty), slo to shi what all rows that it was compared with have; mixed runs have several passages,
+    or need no more than glo to ghi. A task holds at most about `most` suffixes of one key; those of a
+    key that has more go through _apart(), and so do those of a range's first and last key.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "r", "d", "t", "pos"]
     rows = suffixes(df, id_col, text_col, words, k).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    before, most = words - k, 16_384
-    schema = "run long, d long, t long, lo int, hi int, glo int, ghi int, slo int, shi int, mixed boolean, part int, edge int, row binary"
+    before = words - k
+    linked = "run long, d long, t long, lo int, hi int, glo int, ghi int, slo int, shi int, mixed boolean"
+    schema = f"{linked}, key long, r binary, l binary, pos int, n int"
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = dict(zip(names, [pa.int64()] * 3 + [pa.int32()] * 6 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]))
 
     def run(batches):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
         held: Rows | None = None
-        held_run = np.zeros(0, np.int64)  # the runs that the held rows have already
-        first = last = None
-
-        def emit(x: Rows, y: Linked, runs, edge=0, at=None):
-            use = np.flatnonzero(runs >= 0) if at is None else np.array([at])
-            raw = [x.pack(i) if edge else None for i in use.tolist()]
-            spans = [(x.pos - y.lo), (x.pos + y.hi), (x.pos - y.glo), (x.pos + y.ghi), (x.pos - np.minimum(y.slo, x.pos)), (x.pos + np.minimum(y.shi, x.n))]
-            cols = [runs[use], x.d[use], x.t[use], *(c[use].astype(np.int32) for c in spans), y.mixed[use], np.full(len(use), part, np.int32), np.full(len(use), edge, np.int32)]
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 6 + [pa.bool_(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, kind, from_pandas=True) for c, kind in zip(cols, kinds)), pa.array(raw, pa.binary())], names=names)
-
-        def work(x: Rows, old):
-            """Link rows of which the first len(old) have been linked before, with their run numbers."""
+        apart = None  # the key of which all rows go on as they are
+
+        def batch(size: int, **cols):
+            return pa.RecordBatch.from_arrays([pa.array(cols[c], kinds[c], from_pandas=True) if c in cols else pa.nulls(size, kinds[c]) for c in names], names=names)
+
+        def as_is(x: Rows):
+            wide = {c: [row.tobytes() for row in getattr(x, c)] for c in ("r", "l")}
+            return batch(len(x.key), d=x.d, t=x.t, key=x.key, pos=x.pos, n=x.n, **wide)
+
+        def link(x: Rows):
             nonlocal number
-            got = _link(x, words, k)
-            known: dict[int, int] = {}
-            pairs = []
-            for i in np.flatnonzero(got.run[: len(old)] >= 0).tolist():
-                if old[i] >= 0:
-                    r = int(got.run[i])
-                    if r in known and known[r] != old[i]:
-                        pairs.append((known[r], int(old[i])))
-                    known.setdefault(r, int(old[i]))
-            for r in np.unique(got.run[got.run >= 0]).tolist():
-                if r not in known:
-                    known[r] = (part << 40) | number
-                    number += 1
-            return got, np.array([known.get(r, -1) if r >= 0 else -1 for r in got.run.tolist()], np.int64), pairs
-
-        def both(pairs):
-            """Rows that say that two runs are one."""
-            rows = [(a, b, *[0] * 7, False, part, 3, None) for a, b in pairs]
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 6 + [pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
-
-        def done(x: Rows, old):
-            nonlocal first, last
-            got, runs, pairs = work(x, old)
-            if first is None:
-                first = emit(x, got, runs, 1, 0)
-            last = emit(x, got, runs, 2, len(x.key) - 1)
-            return runs, [emit(x, got, runs), *([both(pairs)] if pairs else [])]
+            y = _link(x, words, k)
+            use = np.flatnonzero(y.run >= 0)
+            runs, own = np.unique(y.run[use], return_inverse=True)
+            own = own + ((part << 40) | number)
+            number += len(runs)
+            spans = {"lo": x.pos - y.lo, "hi": x.pos + y.hi, "glo": x.pos - y.glo, "ghi": x.pos + y.ghi, "slo": x.pos - np.minimum(y.slo, x.pos), "shi": x.pos + np.minimum(y.shi, x.n)}
+            return batch(len(use), run=own, d=x.d[use], t=x.t[use], mixed=y.mixed[use], **{c: v[use].astype(np.int32) for c, v in spans.items()})
 
         for b in batches:
             if not b.num_rows:
                 continue
             x = Rows.of(b, words, before)
+            if apart is None:
+                apart = x.key[0]  # the range before may end with it
+            at = int(np.searchsorted(x.key, apart, "right"))
+            if at:
+                yield as_is(x.take(slice(0, at)))
+                x = x.take(slice(at, None))
+                if not len(x.key):
+                    continue
             if held is not None:
                 x = held + x
-            # Rows of the last key wait for more of it, unless there are very many.
-            cut = int(np.searchsorted(x.key, x.key[-1])) if (np.diff(x.key) >= 0).all() else 0
-            if len(x.key) - cut > most:
-                cut = len(x.key)
-            if cut == 0:
-                held = x
-                continue
-            own = x.take(slice(0, cut))
-            runs, rows_out = done(own, held_run)
-            yield from rows_out
-            if cut < len(x.key):
-                held, held_run = x.take(slice(cut, len(x.key))), np.zeros(0, np.int64)
-            else:  # of a hot key: its last rows are compared with the next ones
-                keep = slice(max(0, cut - 64), cut)
-                held, held_run = own.take(keep), runs[keep]
-        if held is not None and len(held.key):
-            yield from done(held, held_run)[1]
-        for e in (first, last):
-            if e is not None:
-                yield e
+            # Rows of the last key wait for more of it.
+            cut = int(np.searchsorted(x.key, x.key[-1]))
+            if cut:
+                yield link(x.take(slice(0, cut)))
+            held = x.take(slice(cut, None))
+            if len(held.key) > most:
+                yield as_is(held)
+                apart, held = held.key[0], None
+        if held is not None:
+            yield as_is(held)  # the next range may begin with it
 
     found = written(rows.mapInArrow(run, schema), "suffix-runs")
-    # Where one range ends and the next begins, and where a hot key was cut: two rows for each partition, and few more.
-    side = sorted(found.where("edge > 0").select("run", "d", "t", "part", "edge", "row").collect(), key=lambda e: (e.part, e.edge))
-    alias: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while alias.get(x, x) != x:
-            x = alias[x]
-        return x
-
-    extra = []
-    last = None
-    for e in side:
-        if e.edge == 3:
-            a, b = top(e.run), top(e.d)
-            if a != b:
-                alias[max(a, b)] = min(a, b)
-        elif e.edge == 2:
-            last = e
-        elif last is not None:
-            x = Rows.unpack(last, words, before) + Rows.unpack(e, words, before)
-            got = _link(x, words, k)
-            if (got.run >= 0).all():
-                ends = [r.run if r.run >= 0 else -2 - len(extra) for r in (last, e)]
-                a, b = top(ends[0]), top(ends[1])
-                if a != b:
-                    alias[max(a, b)] = min(a, b)
-                for i, r in enumerate((last, e)):
-                    spans = (x.pos - got.lo, x.pos + got.hi, x.pos - got.glo, x.pos + got.ghi, x.pos - got.slo, x.pos + got.shi)
-                    extra.append((ends[i], r.d, r.t, *(int(c[i]) for c in spans), False))
-    cols = names[: names.index("part")]
-    out = found.where("edge = 0").select(*cols)
-    if extra:
-        out = out.union(spark.createDataFrame(extra, out.schema))
-    if alias:
-        names = F.create_map(*[F.lit(x) for a in alias for x in (a, top(a))])
-        out = out.withColumn("run", F.coalesce(names[F.col("run")], F.col("run")))
-    return out
+    few = found.where("run is null").select(*[x.split()[0] for x in _KIND.split(", ")])
+    return found.where("run is not null").select(*names[:10]).union(_apart(few, words, k))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -420,7 +413,7 @@ def _without(spans: list[tuple[int, int]], gone: list[tuple[int, int]]) -> list[
     return out
 
 
-def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8) -> DataFrame:
+def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8, most: int = 16_384) -> DataFrame:
     """A row for each repeated passage of a document: id, t, lo, hi (words from 0, without hi), dropped, first id.
 
     Passages have at least `words` words that another document has too; those of a document that
@@ -429,7 +422,7 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Words are runs of bytes without ASCII white space, A-Z in lower case. Null, empty and short
     texts have no passages; rows with the same id and text are one document.
     """
-    found = written(matches(df, id_col, text_col, words, k).distinct(), "suffix-spans")
+    found = written(matches(df, id_col, text_col, words, k, most).distinct(), "suffix-spans")
     least = found.groupBy("run").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "t")).alias("f"), F.max("mixed").alias("several"))
     own = found.join(least, "run")
     later = ~(F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t")))
@@ -456,12 +449,12 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return groups.mapInArrow(run, schema).withColumnRenamed("d", id_col)
 
 
-def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8) -> DataFrame:
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8, most: int = 16_384) -> DataFrame:
     """df with texts without their dropped passages; documents without any word left go, if they had one.
 
     The white space after a dropped word goes with it.
     """
-    gone = passages(df, id_col, text_col, words, k).where("dropped").groupBy(F.col(id_col).alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
+    gone = passages(df, id_col, text_col, words, k, most).where("dropped").groupBy(F.col(id_col).alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
     cols = [F.col(c) for c in df.columns]
     out = df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_d"]) & (F.xxhash64(df[text_col]) == gone["_t"]), "left")
     names = df.columns
