@@ -105,3 +105,12 @@ def test_language_odd_texts(spark, table):
     assert langid.classify(table, {}).where("lang_pred <> 'und'").count() == 0
     kept = langid.accepted(table, model)
     assert kept.columns == table.columns and kept.count() <= table.count()
+
+
+def test_language_of_many_copies(spark):
+    """A text that is there very often takes no place from the others of its language."""
+    rows = [("aa", "the same words again and again")] * 20_000 + [("aa", f"own{chr(97 + i % 26)}{chr(97 + i // 26)} text") for i in range(40)]
+    rows += [("bb", f"eigen{chr(97 + i % 26)}{chr(97 + i // 26)} wort") for i in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert list(model) == ["aa", "bb"]
+    assert model["aa"].count(b"own") == 40 and model["aa"].count(b"the same words") == 1 and model["bb"].count(b"eigen") == 256

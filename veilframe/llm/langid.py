@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ._common import written
+
 UNKNOWN = "und"
 
 
@@ -20,22 +22,23 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_
 
     The bound of what is learned from: docs_per_lang documents of each language, drawn by the hash of
     their text, and of each at most chars_per_doc characters from its middle; the max_langs most
-    frequent languages. Rows with a null or empty text or a null language teach nothing.
+    frequent languages. Rows with a null or empty text or a null language teach nothing. Copies of a
+    text count once, so that a language with docs_per_lang different texts or fewer gives all of them.
     """
+    h = F.xxhash64("text")
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and length(text) > 0")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    texts = written(rows.groupBy("lang", h.alias("h")).agg(F.count("*").alias("n")), "lang-texts")
+    counts = texts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not counts:
         return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, (2 * docs_per_lang + 20) / r["count"])))])
-    h = F.xxhash64("text")
-    drawn = rows.where(F.pmod(h, F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    use = texts.where(F.col("lang").isin([r.lang for r in counts]))
+    drawn = use.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_lang).select("lang", "h", "r")
     at = F.greatest(F.lit(1), F.floor((F.length("text") - chars_per_doc) / 2).cast("int"))
-    some = drawn.select("lang", h.alias("h"), letters(F.substring("text", at, F.lit(chars_per_doc))).alias("text")).distinct()
-    top = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= docs_per_lang)
+    some = rows.withColumn("h", h).join(F.broadcast(drawn), ["lang", "h"]).select("lang", "r", letters(F.substring("text", at, F.lit(chars_per_doc))).alias("text")).distinct()
     out: dict[str, list[str]] = {r.lang: [] for r in counts}
-    for r in top.orderBy("lang", F.desc("r")).collect():
+    for r in some.orderBy("lang", F.desc("r"), "text").collect():  # max_langs times docs_per_lang rows at most
         out[r.lang].append(r.text)
-    return {k: " ".join(v).encode() for k, v in out.items() if v}
+    return {k: " ".join(v).encode() for k, v in out.items()}
 
 
 class Classifier:
