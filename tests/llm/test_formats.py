@@ -114,3 +114,19 @@ def test_language_of_many_copies(spark):
     model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
     assert list(model) == ["aa", "bb"]
     assert model["aa"].count(b"own") == 40 and model["aa"].count(b"the same words") == 1 and model["bb"].count(b"eigen") == 256
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(80):
+        words = ["".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(7)) for _ in range(12)]
+        rows += [(f"l{i:02}", " ".join(rng.choice(words) for _ in range(30))) for _ in range(9)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(df)
+    assert set(model) == {x for x, _ in rows}
+    got = langid.classify(df, model, keep=("lang",)).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    few = langid.fit(df, docs=160)  # two documents for each
+    assert set(few) == set(model) and all(abs(len(v) - 2 * 239) <= 2 for v in few.values())
+    assert len(langid.fit(df, docs=20)) == 80
