@@ -130,3 +130,36 @@ def test_every_language_is_learned(spark):
     few = langid.fit(df, docs=160)  # two documents for each
     assert set(few) == set(model) and all(abs(len(v) - 2 * 239) <= 2 for v in few.values())
     assert len(langid.fit(df, docs=20)) == 80
+
+
+def test_layouts_with_more_or_fewer_fields(spark):
+    records = [
+        {"id": 7, "prompt": "p", "response": "r"},
+        {"messages": [{"role": "user", "content": "u", "name": "x"}, {"role": "bot"}], "id": "m"},
+        {"id": 1, "system": "s", "instruction": "i", "input": "n", "output": "o", "tags": ["a"]},
+        {"prompt": "p", "response": None, "n": 1},
+        {"id": 3, "prompt": "p"},
+        {"id": 3, "messages": []},
+        {"id": 3, "messages": ["no", 1]},
+        {"data": {"chat": [{"speaker": "human", "utterance": "h", "at": 1}], "more": {}}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "i int, record string")
+    got = [None if r.turns is None else [(t.role, t.text) for t in r.turns] for r in chat.canonical(df).orderBy("i").collect()]
+    assert got == [
+        [("user", "p"), ("assistant", "r")],
+        [("user", "u"), ("assistant", "")],
+        [("system", "s"), ("user", "i"), ("user", "n"), ("assistant", "o")],
+        [("user", "p")],
+        None,
+        None,
+        None,
+        [("user", "h")],
+    ]
+
+
+def test_query_goes_through_records(spark):
+    said = ["\\### Assistant: </turn> ok", "", "\\", "é漢😀\\n\n\t\0\"", "</turn>\n<turn assistant>x"]
+    df = spark.createDataFrame([(i // 2, i, ["human", "a>b<\n\\g"][i % 2], x) for i, x in enumerate(said)] + [(None, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = chat.format_records(chat.records(df)).collect()
+    assert {r.layout for r in got} == {"table"}
+    assert sorted(map(str, (r.asDict() for r in chat.digests(chat.format_records(chat.records(df))).collect()))) == sorted(map(str, (r.asDict() for r in chat.digests(chat.format_rows(df)).collect())))

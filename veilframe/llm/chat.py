@@ -2,7 +2,7 @@
 
 Built-in expressions only. A record's fingerprint is the hash of its shape: all nested field paths,
 without the types of their values. Each known fingerprint has a declarative mapping to canonical
-turns (role, text). Turns are written with a template whose control strings cannot occur inside a
+turns (role, text); a record of another fingerprint takes the mapping of which it has all paths. Turns are written with a template whose control strings cannot occur inside a
 text: a backslash is doubled and every `<` becomes a backslash and `l`, which can be undone.
 """
 
@@ -24,7 +24,8 @@ class Mapping:
 
     Either `fields` lists (role, path) in order, a missing or null one being left out; or `items` is
     the path of an array, with the names of the fields that hold role and text.
-    `example` is a record of the layout, from which its fingerprint is taken.
+    `example` is a record of the layout, from which its fingerprint is taken; paths of `fields` that
+    it lacks are optional.
     """
 
     name: str
@@ -38,18 +39,22 @@ class Mapping:
 
 COMMON_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
+_SYSTEM = ("system", "system")
+
 MAPPINGS = (
-    Mapping("prompt_response", {"prompt": "", "response": ""}, (("user", "prompt"), ("assistant", "response"))),
-    Mapping("prompt_completion", {"prompt": "", "completion": ""}, (("user", "prompt"), ("assistant", "completion"))),
-    Mapping("question_answer", {"question": "", "answer": ""}, (("user", "question"), ("assistant", "answer"))),
-    Mapping("instruction", {"instruction": "", "output": ""}, (("user", "instruction"), ("assistant", "output"))),
-    Mapping("instruction_input", {"instruction": "", "input": "", "output": ""}, (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Mapping("system_instruction", {"system": "", "instruction": "", "output": ""}, (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Mapping("prompt_response", {"prompt": "", "response": ""}, (_SYSTEM, ("user", "prompt"), ("assistant", "response"))),
+    Mapping("prompt_completion", {"prompt": "", "completion": ""}, (_SYSTEM, ("user", "prompt"), ("assistant", "completion"))),
+    Mapping("question_answer", {"question": "", "answer": ""}, (_SYSTEM, ("user", "question"), ("assistant", "answer"))),
+    Mapping("instruction", {"instruction": "", "output": ""}, (_SYSTEM, ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Mapping("instruction_input", {"instruction": "", "input": "", "output": ""}, (_SYSTEM, ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Mapping("system_instruction", {"system": "", "instruction": "", "output": ""}, (_SYSTEM, ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Mapping("messages", {"messages": [{"role": "", "content": ""}]}, items="messages", role="role", text="content", roles=COMMON_ROLES),
     Mapping("conversations", {"conversations": [{"from": "", "value": ""}]}, items="conversations", role="from", text="value", roles=COMMON_ROLES),
     Mapping("turns", {"turns": [{"role": "", "text": ""}]}, items="turns", role="role", text="text", roles=COMMON_ROLES),
     Mapping("nested_chat", {"data": {"chat": [{"speaker": "", "utterance": ""}]}}, items="data.chat", role="speaker", text="utterance", roles=COMMON_ROLES),
 )
+#: The layout of records(): roles are as the table has them.
+TABLE = Mapping("table", {"conversation": [{"role": "", "text": ""}]}, items="conversation", role="role", text="text")
 
 
 def shape(record: Column) -> Column:
@@ -67,6 +72,24 @@ def _example_print(m: Mapping) -> Column:
     return fingerprint(F.lit(json.dumps(m.example)))
 
 
+def _required(m: Mapping) -> list[str]:
+    return [p for _, p in m.fields if p in m.example]
+
+
+def _fits(record: Column, m: Mapping) -> Column:
+    """Whether a record has all paths of a layout, whatever else it has; of an array, in some element."""
+    v = F.try_parse_json(record)
+    if m.fields:
+        found = [F.try_variant_get(v, f"$.{p}", "variant").isNotNull() for p in _required(m)]
+    else:
+        raw = F.try_variant_get(v, f"$.{m.items}", f"array<struct<`{m.role}`:variant,`{m.text}`:variant>>")
+        found = [F.coalesce(F.exists(raw, lambda x: x[m.role].isNotNull()), F.lit(False)), F.coalesce(F.exists(raw, lambda x: x[m.text].isNotNull()), F.lit(False))]
+    out = found[0]
+    for x in found[1:]:
+        out = out & x
+    return out
+
+
 def _turns(record: Column, m: Mapping) -> Column:
     v = F.try_parse_json(record)
 
@@ -90,14 +113,16 @@ def _turns(record: Column, m: Mapping) -> Column:
 def canonical(df: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """df with fingerprint, layout and turns, from a column of JSON records in any of the mapped layouts.
 
-    A record that is null, not JSON, or of an unknown shape has a null layout and null turns and
-    stays in the result. An array without elements has the shape of no layout. Columns of these
-    three names are replaced.
+    The mapping is that of the record's fingerprint, or else one of which the record has all paths:
+    the one with the most, of these the first. Other fields are left out. A record that is null, not
+    JSON, or fits no mapping has a null layout and null turns and stays in the result. An array
+    without elements has the shape of no layout. Columns of these three names are replaced.
     """
     record = F.col(record_col)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
-    for m in reversed(mappings):
-        hit = F.col("fingerprint") == _example_print(m)
+    hits = [(m, F.col("fingerprint") == _example_print(m)) for m in mappings]
+    hits += [(m, _fits(record, m)) for m in sorted(mappings, key=lambda m: -(len(_required(m)) or 2))]
+    for m, hit in reversed(hits):
         layout, turns = F.when(hit, F.lit(m.name)).otherwise(layout), F.when(hit, _turns(record, m)).otherwise(turns)
     return df.withColumn("fingerprint", fingerprint(record)).withColumns({"layout": layout, "turns": turns})
 
@@ -114,6 +139,23 @@ def rows_to_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn"
     return own.select(F.col("id").alias(id_col), F.transform("x", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
+def records(df: DataFrame, id_col: str = "conv_id", **columns: str) -> DataFrame:
+    """One row (id, record, said) per conversation of a table with a row for each turn: a JSON record of the layout TABLE, and its turns; see rows_to_turns."""
+    own = rows_to_turns(df, id_col, **columns)
+    return own.select(id_col, F.to_json(F.struct(F.col("turns").alias("conversation"))).alias("record"), F.col("turns").alias("said"))
+
+
+def format_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "record", mappings: tuple[Mapping, ...] = (TABLE, *MAPPINGS)) -> DataFrame:
+    """id, layout, turns, formatted text and loss spans of a table with a JSON record for each conversation; nulls for a record that fits no mapping.
+
+    Of records() a record that is too large to be parsed has its turns in `said`, without a layout.
+    """
+    said = [F.col("said")] if "said" in df.columns else []
+    own = canonical(df.select(id_col, F.col(record_col).alias("record"), *said), "record", mappings)
+    own = own.withColumn("turns", F.coalesce("turns", *said))
+    return own.withColumn("f", formatted(F.col("turns"))).select(id_col, "layout", "turns", F.col("f.text").alias("formatted"), F.col("f.loss").alias("loss"))
+
+
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
 

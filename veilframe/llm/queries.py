@@ -32,7 +32,7 @@ def op4_chat_formatting(spark, sf_dir):
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digests(chat.format_rows(rows.union(own)))
+    return chat.digests(chat.format_records(chat.records(rows.union(own))))
 
 
 def op5_progressive_jpeg(spark, sf_dir):
