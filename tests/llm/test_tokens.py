@@ -50,6 +50,34 @@ def test_packing_targets_carry_deficits():
     assert (seen == 1).all()
 
 
+def test_packing_of_many_sources(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60)), "hot" if i % 2 else f"s{i % 300}") for i in range(3000)] + [(9000, "", "rare"), (9001, None, "rarer")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    named = {i: s for i, _, s in rows}
+
+    def packed(**more):
+        out = packing.pack(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ids=False, **more).toPandas()
+        assert all(named[i] == s for i, s in zip(out.doc_id, out.source))
+        got = out.groupby("doc_id").agg(a=("length", "sum"), b=("doc_tokens", "first"))
+        assert len(got) == len(rows) and (got.a == got.b).all()
+        at = np.sort((out.sequence_id * 1024 + out.offset).to_numpy())
+        assert len(np.unique(at)) == len(at) and out.length.sum() == (out.sequence_id * 1024 + out.offset + out.length).max()
+        return out
+
+    for more in ({}, {"cycle": 16}):
+        out = packed(**more)
+        share = out[out.source == "hot"].length.sum() / out.length.sum()
+        hot = out[out.source == "hot"].groupby("sequence_id").length.sum()
+        assert (abs(hot[hot.index < 0.9 * out.sequence_id.max()] - 1024 * share) <= 16).all()
+    out = packed(targets={"hot": 0.75, "s0": 0.25}, cycle=1)  # a cycle that s0 can fill
+    first = out[out.sequence_id < 1]
+    assert set(first.source) == {"hot", "s0"} and abs(first[first.source == "hot"].length.sum() - 768) <= 2
+    for bad in ({"none": 1.0}, {"hot": -1.0}, {}):
+        with pytest.raises(ValueError):
+            packing.pack(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, targets=bad)
+
+
 def test_packing_empty(spark, table):
     assert packing.pack(table.where("false"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 

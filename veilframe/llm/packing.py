@@ -70,14 +70,14 @@ def round_robin(quota: np.ndarray, window: int, filled: int, quantum: int = 1) -
                     left -= more
                 if not left:
                     break
-        for i in [(turn + k) % n for k in range(n)]:
-            if due[i]:
-                out[i].append((int(served[i]), at, int(due[i])))
-                at += int(due[i])
+        order = (turn + np.arange(n)) % n
+        for i in order[due[order] > 0].tolist():
+            out[i].append((int(served[i]), at, int(due[i])))
+            at += int(due[i])
         served += due
         deficit -= due
         turn = (turn + 1) % n
-    return [np.array(x, np.int64).reshape(-1, 3) for x in out]
+    return [np.array(x, np.int32).reshape(-1, 3) for x in out]
 
 
 def schedule(totals: np.ndarray, weights: np.ndarray, window: int = 1024, cycle: int = 64, quantum: int = 1) -> list[Phase]:
@@ -157,28 +157,38 @@ def tokenised(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
 
 def pack(
     df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    targets: dict[str, float] | None = None, window: int = 1024, cycle: int = 64, quantum: int = 1, max_queues: int = 128, ids: bool = True,
+    targets: dict[str, float] | None = None, window: int = 1024, cycle: int = 64, quantum: int = 1, ids: bool = True,
 ) -> DataFrame:
-    """Pieces of documents in sequences: id, source queue, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with `ids`, ids (binary, unsigned 16-bit).
+    """Pieces of documents in sequences: id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with `ids`, ids (binary, unsigned 16-bit).
 
     The vocabulary has at most 65,536 ids; after each document comes id 0. Without targets the
     queues keep the proportions of all tokens, so that no queue runs dry before the end; a source
-    without a target comes last. Beyond max_queues sources, sources share queues by their hash
-    (targets then do not apply). Only the last sequence is short. A null text is an empty one (its
+    without a target comes last. Every source that has a target or a share of a token in a cycle has
+    a queue of its own; the others share one that has the sum of their weights. Targets that cannot
+    be applied raise ValueError: bad weights, or none of a source that is there. Only the last sequence is short. A null text is an empty one (its
     separator alone), a null source a queue of its own, repeated rows are packed each; an empty
     table gives no rows.
     """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col in df.columns else F.lit("")
-    many = df.select(source.alias("q")).distinct().limit(max_queues + 1).count() > max_queues
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string")) if many else source
-    rows = written(tokenised(df, ranks_path, pattern, id_col, text_col, queue), "pack-ids")
-    parts = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    bases = written(parts.select("queue", "part", (F.sum("n").over(Window.partitionBy("queue").orderBy("part")) - F.col("n")).alias("base"), "n"), "pack-bases")
-    totals = {r.queue: r.n for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}  # max_queues rows at most
+    if targets is not None and not all(0 <= x < float("inf") for x in targets.values()):
+        raise ValueError("targets must be finite and not negative")
+    rows = written(tokenised(df, ranks_path, pattern, id_col, text_col, source), "pack-ids")
+    parts = written(rows.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-parts")
+    sources = parts.groupBy("queue").agg(F.sum("n").alias("n"))
+    total = sources.agg(F.sum("n")).first()[0] or 0
+    wanted = F.col("queue").isin(list(targets)) if targets else F.lit(False)
+    totals = {r.queue: r.n for r in sources.where(wanted | (F.col("n") * (window * cycle) >= total)).orderBy("queue").collect()}  # at most a row for each target and each token of a cycle
+    if targets is not None and total and not any(targets.get(k, 0) > 0 for k in totals):
+        raise ValueError("no source that is there has a target")
     names = list(totals)
-    size = np.array(list(totals.values()), np.int64)
-    weights = size if targets is None or many else np.array([targets.get(k, 0.0) for k in names])
-    plan = df.sparkSession.sparkContext.broadcast((names, schedule(size, weights, window, cycle, quantum)))
+    rest = total - sum(totals.values())
+    size = np.array([*totals.values(), *([rest] if rest else [])], np.int64)
+    weights = size if targets is None else np.array([targets.get(k, 0.0) for k in names] + [0.0] * bool(rest))
+    plan = df.sparkSession.sparkContext.broadcast(schedule(size, weights, window, cycle, quantum))
+    own = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "queue string, number int")
+    numbered = parts.join(F.broadcast(own), "queue", "left").withColumn("number", F.coalesce("number", F.lit(len(names))))
+    before = F.sum("n").over(Window.partitionBy("number").orderBy("part", "queue")) - F.col("n")
+    bases = written(numbered.select("queue", "part", "number", before.alias("base"), "n"), "pack-bases")
     side = bases.drop("n")
     if bases.count() <= 100_000:  # tasks times queues: some 4 MB; beyond that it is an ordinary join
         side = F.broadcast(side)
@@ -189,12 +199,11 @@ def pack(
         schema = schema.add("ids", "binary")
 
     def run(batches):
-        names, phases = plan.value
-        number = {k: i for i, k in enumerate(names)}
+        phases = plan.value
         for b in batches:
             if not b.num_rows:
                 continue
-            queues = np.array([number[q] for q in b.column("queue").to_pylist()])
+            queues = b.column("number").to_numpy()
             first = b.column("base").to_numpy() + b.column("pos").to_numpy()
             n = b.column("n").to_numpy()
             found = []
