@@ -49,3 +49,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.start(stream.read_stream(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert {(r.call_id, r.anonymized_transcript) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("1", "born in <MONTH>"), ("2", None)}
+
+
+def test_metrics_go_to_a_tracking_server(spark, monkeypatch):
+    import contextlib
+    import sys
+    import types
+
+    said = []
+    log = {k: (lambda *a, k=k, **b: said.append((k, *a))) for k in ("set_experiment", "log_metrics", "log_dict")}
+    run = lambda run_name: (said.append(("start_run", run_name)), contextlib.nullcontext())[1]
+    metrics, sample = spark.createDataFrame([(1, 0.5)], "a int, b double"), spark.range(9).withColumnRenamed("id", "call_id")
+    kinds = spark.createDataFrame([("NAME", 3), ("DATE", 1)], "type string, n long")
+    for client in (types.SimpleNamespace(**log, start_run=run), None):
+        monkeypatch.setitem(sys.modules, "mlflow", client)  # None: not installed
+        io.log_metrics(metrics, "r", "tracked", {"pii_types": kinds}, sample)
+    assert said[:3] == [("set_experiment", "veilframe"), ("start_run", "r"), ("log_metrics", {"a": 1.0, "b": 0.5})]
+    assert said[3] == ("log_dict", {"NAME": 3, "DATE": 1}, "pii_types.json") and said[4][0] == "log_dict" and len(said[4][1]) == 5 and len(said) == 5
+    assert spark.table("tracked").count() == 4 and spark.table("tracked_sample").count() == 10
+    assert sorted((r.distribution, r["item"], r.n) for r in spark.table("tracked_distributions").collect()) == sorted([("pii_types", "NAME", 3), ("pii_types", "DATE", 1)] * 2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +44,36 @@ def metric_rows(metrics: DataFrame, run_id: str) -> DataFrame:
     return metrics.select(F.lit(run_id).alias("run_id"), F.explode(pairs).alias("x")).select("run_id", "x.*")
 
 
-def log_metrics(metrics: DataFrame, run_id: str, table: str) -> None:
-    """Append a run's metrics to a table; the same to a tracking server where its client is installed."""
+def log_metrics(metrics: DataFrame, run_id: str, table: str, distributions: dict[str, DataFrame] | None = None, sample: DataFrame | None = None, experiment: str = "veilframe") -> None:
+    """Append a run's metrics to a table; the same to a tracking server where its client, mlflow, is installed.
+
+    Each distribution has an item and its count in two columns, and goes to `table`_distributions
+    as (run_id, distribution, item, n); five rows of the sample go to `table`_sample as JSON.
+    """
     rows = metric_rows(metrics, run_id)
     rows.write.mode("append").saveAsTable(table)
+    spreads = {}
+    for name, df in (distributions or {}).items():
+        item, n = df.columns
+        own = df.select(F.lit(run_id).alias("run_id"), F.lit(name).alias("distribution"), F.col(item).cast("string").alias("item"), F.col(n).cast("long").alias("n"))
+        own.write.mode("append").saveAsTable(f"{table}_distributions")
+        spreads[name] = own
+    few = None
+    if sample is not None:
+        few = sample.limit(5).select(F.to_json(F.struct("*")).alias("row")).collect()
+        out = sample.sparkSession.createDataFrame([(run_id, r.row) for r in few], "run_id string, row string")
+        out.write.mode("append").saveAsTable(f"{table}_sample")
+    try:
+        import mlflow
+    except ImportError:
+        return
+    mlflow.set_experiment(experiment)
+    with mlflow.start_run(run_name=run_id):
+        mlflow.log_metrics({r.metric: r.value for r in rows.collect() if r.value is not None})
+        for name, own in spreads.items():
+            mlflow.log_dict({str(r["item"]): r["n"] for r in own.collect()}, f"{name}.json")  # a row for each kind
+        if few is not None:
+            mlflow.log_dict([json.loads(r.row) for r in few], "sample_results.json")
 
 
 def summary(metrics: DataFrame) -> str:
