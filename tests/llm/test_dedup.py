@@ -38,24 +38,45 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_line_links_against_brute_force(spark):
+def line_classes(spark, lines, *how):
+    df = spark.createDataFrame([(x,) for x in lines], "key string")
+    named = df.distinct().select("key", F.struct(*linededup.name_of(F.col("key"))).alias("node"))
+    got = {}
+    for r in named.join(connected_components(linededup.links(df, *how)), "node").collect():
+        got.setdefault(tuple(r.component), set()).add(r.key)
+    return sorted(sorted(x) for x in got.values() if len(x) > 1)
+
+
+def edited(rng, line, n, letters):
+    y = list(line)
+    for _ in range(n):
+        at = rng.randrange(len(y) + 1)
+        y[at : at + rng.randint(0, 1)] = rng.choice(["", *letters])
+    return "".join(y)
+
+
+@pytest.mark.parametrize("threshold,per_edit,block", [(2, 8, 256), (2, 8, 8), (1, 4, 64), (2, 1, 16), (3, 8, 32)])
+def test_line_links_against_brute_force(spark, threshold, per_edit, block):
     rng = random.Random(3)
-    lines = {"".join(rng.choice("ab é") for _ in range(rng.randint(8, 14))).strip() for _ in range(150)}
-    for x in list(lines)[:60]:
-        y = list(x)
-        for _ in range(rng.randint(1, 3)):
-            at = rng.randrange(len(y) + 1)
-            y[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
-        lines.add("".join(y))
-    lines = sorted(x for x in lines if len(x) >= 8)
-    got = linededup.links(spark.createDataFrame([(x,) for x in lines], "key string"), 2, 8).collect()
-    want = {frozenset((a, b)) for i, a in enumerate(lines) for b in lines[:i] if edits(a, b) <= 2}
-    assert {frozenset((r.a, r.b)) for r in got} == want and want
+    base = ["".join(rng.choice("abé漢😀 c") for _ in range(rng.randint(1, 40))).strip() for _ in range(60)]
+    lines = {*base, *(edited(rng, rng.choice(base), rng.randint(1, 3), "abé") for _ in range(120)), *(f"Number {i:03} of a template" for i in range(0, 300, 3))}
+    lines = sorted(lines - {""})
+    pairs = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i]) if edits(a, b) <= min(threshold, max(len(a), len(b)) // per_edit)]
+    comp = components(len(lines), pairs)
+    want = sorted([x for x, d in zip(lines, comp) if d == c] for c in set(comp) if comp.count(c) > 1)
+    assert line_classes(spark, lines + lines[:50], threshold, per_edit, block) == want and want
+
+
+def test_line_template_of_thousands_of_variants(spark):
+    """Every number from 0 to 1999 is joined with others by one digit; far ones have three or four edits and are joined by a chain."""
+    lines = [f"Customer {i:04} has called about an invoice." for i in range(2000)]
+    far = [f"Customer {a}{b}{c}{d}{e} has called about an invoice." for a, b, c, d, e in ["vwxyz", "qrstu"]]
+    assert line_classes(spark, lines + far) == [lines]
 
 
 def test_line_report(spark):
     rows = [(1, "one line of text that is long enough\nshort\n\nshort"), (2, "one line of text that is lonq enough\nother"), (3, None), (4, ""), (None, "short"), (1, "one line of text that is long enough\nshort\n\nshort")]
-    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lines int")
+    df = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, lines int, _lines int, d int")
     got = sorted((r.doc_id or 0, r.n_lines, r.dropped, r.kept_chars) for r in linededup.report(df).collect())
     assert got == [(0, 1, "0", 0), (1, 4, "3", 41), (1, 4, "3", 41), (2, 2, "0", 5), (3, 0, "", 0), (4, 1, "", 0)]
     kept = {r.doc_id: r.text for r in linededup.deduplicate(df).collect()}
@@ -138,7 +159,7 @@ def test_passages_against_brute_force(spark):
 def test_passages_of_hot_keys_against_brute_force(spark, most):
     """Pairs that have own words and a common text in common lie far apart among those who have only that text."""
     rng = random.Random(11)
-    words = [f"w{i}" for i in range(3000)]
+    words = [f"w{i}" for i in range(2000)]
 
     def own(n):
         return [rng.choice(words) for _ in range(n)]

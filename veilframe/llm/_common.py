@@ -76,6 +76,15 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    more = "_"
+    while any((more + n).lower() in taken for n in names):
+        more += "_"
+    return [more + n for n in names]
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
