@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,68 +137,103 @@ def test_repeated_passages(spark, table, docs):
     assert suffixes.passages(table.where("false")).count() == 0
 
 
-def test_passages_against_brute_force(spark):
-    rng = random.Random(9)
-    words = [f"w{i}" for i in range(60)]
-    rows = [[rng.choice(words) for _ in range(rng.randint(10, 60))] for _ in range(40)]
-    for i in range(25):
-        a, b = rng.sample(range(40), 2)
-        at, n = rng.randrange(len(rows[a]) // 2 + 1), rng.randint(8, 25)
-        rows[b][len(rows[b]) // 2 : len(rows[b]) // 2] = rows[a][at : at + n]
-    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
-    found = suffixes.passages(df, words=12, k=4).collect()
-    inside = {(r.doc_id, p) for r in found for p in range(r.lo, r.hi)}
-    grams = {}
-    for i, r in enumerate(rows):
-        for p in range(len(r) - 11):
-            grams.setdefault(tuple(r[p : p + 12]), []).append((i, p))
-    want = {(i, q) for own in grams.values() if len({i for i, _ in own}) > 1 for i, p in own for q in range(p, p + 12)}
-    assert want <= inside and len(inside - want) <= 0.02 * len(want)
-
-
-@pytest.mark.parametrize("most", [8, 16_384])
-def test_passages_of_hot_keys_against_brute_force(spark, most):
-    """Pairs that have own words and a common text in common lie far apart among those who have only that text."""
-    rng = random.Random(11)
+def passages_by_hand(rows, n):
+    """{(row's id and text, word): whether an earlier document has it} of the words in windows of n words that other documents have."""
+    docs = sorted({(i is None, i, hash_of(t), t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1] if not x[0] else 0, x[2]))
+    grams, out = {}, {}
+    for at, (_, _, _, t) in enumerate(docs):
+        w = t.lower().split()
+        for p in range(len(w) - n + 1):
+            grams.setdefault(tuple(w[p : p + n]), set()).add(at)
+    for at, (_, i, _, t) in enumerate(docs):
+        w = t.lower().split()
+        for p in range(len(w) - n + 1):
+            own = grams[tuple(w[p : p + n])]
+            if len(own) > 1:
+                for q in range(p, p + n):
+                    out[i, t, q] = out.get((i, t, q), False) or min(own) < at
+    return out
+
+
+def hash_of(text):
+    import xxhash
+
+    x = xxhash.xxh64_intdigest(text.encode(), 42)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def found_passages(spark, rows, kind, **how):
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], f"doc_id {kind}, text string, t int, _d int")
+    text = {(i, hash_of(t)): t for i, t in rows if t is not None}
+    out = {}
+    for r in suffixes.passages(df, words=12, k=4, **how).collect():
+        for p in range(r.lo, r.hi):
+            assert (r.doc_id, text[r.doc_id, r.t], p) not in out
+            out[r.doc_id, text[r.doc_id, r.t], p] = r.dropped
+    return out
+
+
+def passage_rows(rng):
+    """Documents that share passages, some around a common text that is the minimiser of most windows around it."""
     words = [f"w{i}" for i in range(2000)]
 
     def own(n):
         return [rng.choice(words) for _ in range(n)]
 
     def least_key(w):
-        return suffixes.minimisers(suffixes.Words()([x.encode() for x in w]), 8, 4)[1].min()
+        h, n = suffixes.word_hashes(pa.array([" ".join(w)]))
+        return suffixes.minimisers(h, np.zeros(len(h)), 8, 4)[1].min()
 
-    common = min((own(8) for _ in range(300)), key=least_key)  # the minimiser of most windows is in it
-    rows = [[*own(12), *common, *own(12)] for _ in range(300)]
-    for i in range(0, 80, 2):  # before the common text, so that what follows it sorts them apart
+    common = min((own(8) for _ in range(300)), key=least_key)
+    rows = [[*own(12), *common, *own(12)] for _ in range(200)]
+    for i in range(0, 60, 2):  # before the common text, so that what follows it sorts them apart
         rows[i + 1][8:12] = rows[i][8:12]
-    order = list(range(300))
-    rng.shuffle(order)
-    df = spark.createDataFrame([(i, " ".join(rows[i])) for i in order] + [(None, " ".join(rows[81]))], "doc_id long, text string")
-    rows = {i: r for i, r in enumerate(rows)} | {None: rows[81]}
-    few = {"spark.sql.shuffle.partitions": "16", "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}  # ranges end inside keys
-    before = {c: spark.conf.get(c) for c in few}
+    rows += [[rng.choice(words[:60]) for _ in range(rng.randint(5, 60))] for _ in range(60)]
+    for _ in range(40):
+        a, b = rng.sample(range(200, 260), 2)
+        at, n = rng.randrange(len(rows[a]) // 2 + 1), rng.randint(8, 25)
+        rows[b][len(rows[b]) // 2 : len(rows[b]) // 2] = rows[a][at : at + n]
+    rows += [[*own(5), *rows[0][2:30], *own(5)] for _ in range(30)]  # many have one passage
+    return [" ".join(r) for r in rows]
+
+
+@pytest.mark.parametrize("kind,most,parts,batch,sent", [("long", 16_384, 4, 10_000, None), ("string", 8, 16, 16, None), ("long", 40, 7, 64, None), ("long", 8, 1, 16, 0), ("string", 16_384, 64, 10_000, 0), ("long", 8, 5, 100, 3)])
+def test_passages_against_brute_force(spark, monkeypatch, kind, most, parts, batch, sent):
+    rng = random.Random(11)
+    texts = passage_rows(rng)
+    rng.shuffle(texts)
+    ids = [2**60 + i if kind == "long" else f"n{i}" for i in range(len(texts))]
+    rows = list(zip(ids, texts)) + [(None, texts[3]), (None, texts[3]), (None, " ".join([texts[4]] * 2)), (ids[5], texts[5]), (ids[6], texts[7]), (ids[8], None), (ids[9], ""), (None, None)]
+    if sent is not None:
+        monkeypatch.setattr(suffixes, "BROADCAST_KEYS", sent)
+    monkeypatch.setattr(suffixes, "SLICE", 50 * parts)
+    monkeypatch.setattr(suffixes, "ROWS", 20 * parts)
+    conf = {"spark.sql.shuffle.partitions": parts, "spark.sql.execution.arrow.maxRecordsPerBatch": batch}
+    before = {c: spark.conf.get(c) for c in conf}
     try:
-        for c, v in few.items():
+        for c, v in conf.items():
             spark.conf.set(c, v)
-        found = suffixes.passages(df, words=12, k=4, most=most).collect()
+        got = found_passages(spark, rows, kind, most=most)
     finally:
         for c, v in before.items():
             spark.conf.set(c, v)
-    inside = {(r.doc_id, p): r.dropped for r in found for p in range(r.lo, r.hi)}
-    grams = {}
-    for i, r in rows.items():
-        for p in range(len(r) - 11):
-            grams.setdefault(tuple(r[p : p + 12]), []).append((i, p))
-    last = lambda i: 10**6 if i is None else i
-    want = {}
-    for own in grams.values():
-        if len({i for i, _ in own}) > 1:
-            least = min(last(i) for i, _ in own)
-            for i, p in own:
-                for q in range(p, p + 12):
-                    want[i, q] = want.get((i, q), False) or last(i) > least
-    assert len(want) >= 80 * 12 and inside == want
+    assert got == passages_by_hand(rows, 12) and got
+
+
+def test_a_passage_repeated_within_one_document_only(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    assert found_passages(spark, [(None, f"{text} {text}"), (1, "other")], "long") == {}
+
+
+def test_words_are_split_like_bytes():
+    texts = ["", " ", "A\x1cb c\x85d\u00a0e\u2003F\x0bg\x0c\rÄ\t\n z", "\x00 x", "ab ba a b", " x", "x ", "y"]
+    texts = [f"{t} N{i}" if i > 7 else t for i in range(48) for t in texts]
+    for at, size in ((0, 384), (0, 2), (0, 0), (1, 1), (13, 50), (383, 1)):
+        want = [t.encode().lower().split() for t in texts[at : at + size]]
+        h, n = suffixes.word_hashes(pa.array(texts, pa.string()).slice(at, size))
+        flat = [w for x in want for w in x]
+        assert n.tolist() == [len(w) for w in want] and len(h) == len(flat)
+        assert len(set(zip(h.tolist(), flat))) == len(set(h.tolist())) == len(set(flat))
 
 
 def vectors(rng):

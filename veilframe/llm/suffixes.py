@@ -2,24 +2,31 @@
 
 Of each document only the suffixes at minimiser positions are kept: in every window of `words` words,
 the one that starts the `k` words of least hash. Two equal passages of that length keep a suffix at
-the same place. The suffixes of the corpus are sorted over range partitions, neighbours are compared,
-and a match is extended word by word to the right and to the left. Keys of very many suffixes, and
-those where one range ends and the next begins, are matched by grouping the hashes of all windows
-around their suffixes instead, in partitions of their own. Contexts are two bytes a word, so that a
-span may rarely (once in 65,536 ends) be a word too long; the key of `k` words has 64 bits.
+the same place. Keys of `k` words are counted first, as hashes alone; the suffixes of those that two
+documents have are dealt by key and sorted there, neighbours are compared, and matches are extended
+word by word to the right and to the left. All windows of `words` words around a suffix are settled
+exactly, so that results do not depend on partitions. Keys of very many suffixes are cut by what
+stands on either side, and then matched by grouping the hashes of their windows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import fits, written
+from ._common import fits, fresh, written
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_KIND = "key long, r binary, l binary, d long, t long, pos int, n int"
+_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+#: Keys are sent to all tasks up to so many (8 MB).
+BROADCAST_KEYS = 1_000_000
+#: Bytes of text whose words are taken at once, and rows that are compared at once.
+SLICE, ROWS = 1 << 19, 20_000
+ALL = "all"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -27,367 +34,369 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Words:
-    """64-bit hashes of words, of which the latest are remembered."""
-
-    def __init__(self, limit: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        import xxhash
-
-        known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = digest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def minimisers(h: np.ndarray, words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the kept suffixes of a document's word hashes, and their keys; leftmost among equals."""
-    n = len(h)
-    if n < words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = np.zeros(n - k + 1, np.uint64)
+_BYTES = np.arange(256, dtype=np.uint64)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + np.uint64(32), _BYTES)
+_SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts (sums over their bytes, each mixed with its place), and how many words each text has."""
+    texts = texts.cast(pa.large_binary())
+    _, ends, raw = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(raw or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    space = _SPACE[raw]
+    start = ~space
+    start[1:] &= space[:-1]
+    inner = ends[ends < len(raw)]
+    start[inner] = ~space[inner]  # a text begins a word
+    first = np.flatnonzero(start)
+    n = np.diff(np.searchsorted(first, ends))
+    if not len(first):
+        return np.zeros(0, np.uint64), n
+    place = np.arange(len(raw))
+    place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(raw))))
+    mixed = _mix((place.view(np.uint64) << np.uint64(8) | _LOWER[raw]) * _P + _P)
+    mixed[space] = 0
+    return _mix(np.add.reduceat(mixed, first)), n
+
+
+def minimisers(h: np.ndarray, doc: np.ndarray, words: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the kept suffixes in the word hashes of documents one after another, and their keys; leftmost among equals."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(h) < words:
+        return none
+    whole = np.flatnonzero(doc[: len(h) - words + 1] == doc[words - 1 :])  # where windows of one document start
+    if not len(whole):
+        return none
+    g = np.zeros(len(h) - k + 1, np.uint64)
     for j in range(k):
-        g = g * _P + h[j : n - k + 1 + j]
+        g = g * _P + h[j : len(h) - k + 1 + j]
     g = _mix(g)
-    w = words - k + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, w).argmin(axis=1) + np.arange(len(g) - w + 1)
+
+    def least(v, i, step):
+        """Of each window and the one `step` after it."""
+        left = v[: len(v) - step] <= v[step:]
+        return np.where(left, v[: len(v) - step], v[step:]), np.where(left, i[: len(i) - step], i[step:])
+
+    v, i, size, w = g, np.arange(len(g)), 1, words - k + 1
+    while size * 2 <= w:
+        v, i = least(v, i, size)
+        size *= 2
+    if size < w:
+        v, i = least(v, i, w - size)
+    at = i[whole]
     at = at[np.append(True, np.diff(at) != 0)]
-    at = np.unique(at)
     return at, g[at]
 
 
-def suffixes(df: DataFrame, id_col: str, text_col: str, words: int, k: int) -> DataFrame:
-    """A row for each kept suffix: key, r (context from there), l (context before, backwards), d (id), t (hash of the text), pos, n (words of the document)."""
-    before = words - k
-    few = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("x"))
-    names = ["key", "r", "l", "d", "t", "pos", "n"]
+class Suffixes:
+    """The kept suffixes of some texts. Those of a text that have the same words around them, all within it, are one, with all its places."""
 
-    def run(batches):
-        hashes = Words()
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                keys, right, left, row, pos, size = [], [], [], [], [], []
-                for i, x in enumerate(part.column(2).to_pylist()):
-                    h = hashes(x.lower().split())
-                    p, g = minimisers(h, words, k)
-                    if not len(p):
-                        continue
-                    short = np.zeros(before + len(h) + words, np.uint16)
-                    short[before : before + len(h)] = _mix(h).astype(np.uint16)
-                    right.append(np.lib.stride_tricks.sliding_window_view(short, words)[p + before])
-                    left.append(np.lib.stride_tricks.sliding_window_view(short, before)[p][:, ::-1])
-                    keys.append(g)
-                    pos.append(p)
-                    row.append(np.full(len(p), i))
-                    size.append(np.full(len(p), len(h)))
-                if not keys:
-                    continue
-                r, l, row = np.concatenate(right), np.concatenate(left), np.concatenate(row)
-                fixed = [pa.Array.from_buffers(pa.binary(x.shape[1] * 2), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in (r, l)]
-                own = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *fixed, part.column(0).take(own), part.column(1).take(own), pa.array(np.concatenate(pos).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32))], names=names)
-
-    return few.mapInArrow(run, _KIND)
-
-
-class Rows:
-    """Sorted suffixes in memory."""
-
-    def __init__(self, key, r, l, d, t, pos, n):
-        self.all = (key, r, l, d, t, pos, n)
-        self.key, self.r, self.l, self.d, self.t, self.pos, self.n = self.all
-        self.reach_r = np.minimum(r.shape[1], n - pos)
-        self.reach_l = np.minimum(l.shape[1], pos)
-
-    @classmethod
-    def of(cls, b: pa.RecordBatch, words: int, before: int) -> Rows:
-        def wide(c, w):
-            return np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, w)
-
-        return cls(b.column(0).to_numpy(), wide(b.column(1), words), wide(b.column(2), before), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(), b.column(5).to_numpy(), b.column(6).to_numpy())
-
-    def take(self, i) -> Rows:
-        return Rows(*(x[i] for x in self.all))
-
-    def __add__(self, other: Rows) -> Rows:
-        return Rows(*(np.concatenate(x) for x in zip(self.all, other.all)))
-
-    def rank(self) -> np.ndarray:
-        """Of the rows' documents: by id, nulls last, then by text hash."""
-        null = np.array([x is None or x != x for x in self.d]) if self.d.dtype.kind in "Of" else np.zeros(len(self.d), bool)
-        d = np.where(null, 0, self.d).astype(np.int64)
-        order = np.lexsort((self.t, d, null))
-        step = np.append(False, (d[order][1:] != d[order][:-1]) | (null[order][1:] != null[order][:-1]) | (self.t[order][1:] != self.t[order][:-1]))
-        out = np.empty(len(order), np.int64)
-        out[order] = np.cumsum(step)
-        return out
+    def __init__(self, texts: pa.Array, words: int, k: int):
+        h, n = word_hashes(texts)
+        doc = np.repeat(np.arange(len(n)), n)
+        at, key = minimisers(h, doc, words, k)
+        self.words, self.before = words, words - k
+        first = np.cumsum(n) - n
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), _P)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
+        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), _INVERSE)]))
+        self.short = np.concatenate([np.zeros(self.before, np.uint32), _mix(h).astype(np.uint32), np.zeros(words, np.uint32)])
+        row = doc[at] if len(at) else np.zeros(0, np.int64)
+        pos = at - first[row]
+        right, left = np.minimum(words, n[row] - pos), np.minimum(self.before, pos)
+        around = self.hash(at - left, left + right) + _mix((row * 4096 + right * 64 + left).astype(np.uint64))
+        _, one, group = np.unique(around, return_index=True, return_inverse=True)
+        places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(group, minlength=len(one)))).astype(np.int32)), pa.array(pos[np.argsort(group, kind="stable")].astype(np.int32)))
+        self.all = {"at": at[one], "key": key[one].view(np.int64), "row": row[one], "right": right[one], "left": left[one], "places": places}
+        self.halves = None  # (keys, suffixes) that stand for the suffixes themselves
+        self.take(np.arange(len(one)))
 
-    def same_document(self, i, j):
-        return (self.t[i] == self.t[j]) & (self.d[i] == self.d[j])
+    def take(self, use: np.ndarray) -> None:
+        """Have those of all suffixes."""
+        for c, x in self.all.items():
+            setattr(self, c, x.take(pa.array(use)) if c == "places" else x[use])
 
-    def extend(self, i, j) -> tuple[np.ndarray, np.ndarray]:
-        """How many words rows i and j have in common before and from their suffixes."""
+    def hash(self, start: np.ndarray, words) -> np.ndarray:
+        """Of so many words from there."""
+        return _mix((self.sums[start + words] - self.sums[start]) * self.back[start])
 
-        def common(x, reach):
-            differ = np.concatenate([x[i] != x[j], np.ones((len(i), 1), bool)], axis=1)
-            return np.minimum(differ.argmax(axis=1), np.minimum(reach[i], reach[j]))
+    def context(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words from suffixes on, and those before them, backwards."""
+        view, at = np.lib.stride_tricks.sliding_window_view, self.at[use]
+        return view(self.short, self.words)[at + self.before], view(self.short, self.before)[at][:, ::-1]
 
-        return common(self.l, self.reach_l), common(self.r, self.reach_r)
 
+def _keys(s: Suffixes):
+    yield {"key": s.key}, s.row
 
-def _windows(rows: Rows, words: int, k: int):
-    """For each number of words after the start of a suffix: (after, rows that have the window of `words` words, its hashes)."""
-    pr = [np.zeros(len(rows.key), np.uint64)]
-    for x in rows.r.T:
-        pr.append(pr[-1] * _P + x + np.uint64(1))
-    pl = [np.zeros(len(rows.key), np.uint64)]
-    for x in rows.l.T:
-        pl.append(pl[-1] * _P + x + np.uint64(1))
-    for after in range(k, words + 1):
-        before = words - after
-        use = np.flatnonzero((rows.reach_r >= after) & (rows.reach_l >= before))
-        yield after, use, _mix(pr[after][use]) * _P + pl[before][use]
 
+def _halves(s: Suffixes):
+    """Of a suffix two keys: with half of `words` words from it on, and before it. A window around it has one of them whole."""
+    half = s.words // 2
+    key = s.key.view(np.uint64)
+    for start, n, reach, salt in ((s.at, s.words - half, s.right, 0), (s.at - half, half, s.left, 1)):
+        use = np.flatnonzero(reach >= n)
+        yield (_mix((key[use] + np.uint64(salt)) * _P) ^ s.hash(start[use], n)).view(np.int64), use
 
-def _shared_windows(rows: Rows, words: int, k: int) -> list[tuple[np.ndarray, int, int]]:
-    """For suffixes of one key: (rows, words before, words after) of each window of `words` that different documents share."""
-    out = []
-    for after, use, h in _windows(rows, words, k):
-        if len(use) < 2:
-            continue
-        order = np.argsort(h, kind="stable")
-        for part in np.split(use[order], np.flatnonzero(np.diff(h[order])) + 1):
-            if len(part) > 1 and not rows.same_document(part[0], part).all():
-                out.append((part, words - after, after))
-    return out
 
+def _half_keys(s: Suffixes):
+    for key, use in _halves(s):
+        yield {"key": key}, s.row[use]
 
-class Linked:
-    """What is known of each row: its run (-1: none), how far its matches reach before and after its
-    suffix, how far those with earlier documents do, how far all its matches do, and whether its run has
-    rows that do not match the run's first."""
 
-    def __init__(self, n: int):
-        self.run = np.full(n, -1, np.int64)
-        self.lo, self.hi, self.glo, self.ghi = (np.zeros(n, np.int64) for _ in range(4))
-        self.slo, self.shi = np.full(n, 1 << 30), np.full(n, 1 << 30)
-        self.mixed = np.zeros(n, bool)
+def _contexts(s: Suffixes):
+    def binary(x):
+        return pa.Array.from_buffers(pa.binary(x.shape[1] * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
-    def see(self, i, before, after, earlier) -> None:
-        """Rows i match so far; `earlier` where the other document comes first."""
-        np.maximum.at(self.lo, i, before)
-        np.maximum.at(self.hi, i, after)
-        np.minimum.at(self.slo, i, before)
-        np.minimum.at(self.shi, i, after)
-        np.maximum.at(self.glo, i, np.where(earlier, before, 0))
-        np.maximum.at(self.ghi, i, np.where(earlier, after, 0))
+    key, use = (s.key, np.arange(len(s.key))) if s.halves is None else s.halves
+    r, l = s.context(use)
+    yield {"key": key, "r": binary(r), "l": binary(l), "right": s.right[use].astype(np.int32), "left": s.left[use].astype(np.int32), "places": s.places.take(pa.array(use))}, s.row[use]
 
 
-def _link(rows: Rows, words: int, k: int) -> Linked:
-    """Compare neighbours of one key, and each row with the first of its run; see Linked."""
-    n = len(rows.key)
-    out = Linked(n)
-    if n < 2:
-        return out
-    i = np.arange(n)
-    joined = np.append(False, rows.key[1:] == rows.key[:-1])
-    same = joined & np.append(False, rows.same_document(i[1:], i[:-1]))
-    start = np.maximum.accumulate(np.where(same, 0, i))  # of the stretch of one document's rows
-    has = np.flatnonzero(start > 0)
-    has = has[rows.key[start[has] - 1] == rows.key[has]]
-    ends = np.append(np.flatnonzero(~same)[1:], n)
-    nxt = ends[np.cumsum(~same) - 1]
-    to = np.flatnonzero(nxt < n)
-    to = to[rows.key[nxt[to]] == rows.key[to]]
-    a, b = np.concatenate([has, to]), np.concatenate([start[has] - 1, nxt[to]])  # the nearest of another document on either side
-    l, r = rows.extend(a, b)
-    good = l + r >= words
-    a, b, l, r = a[good], b[good], l[good], r[good]
-    if not len(a) and not (joined[1:] & joined[:-1]).any():
-        return out
-    rank = rows.rank()
-    out.see(a, l, r, rank[b] < rank[a])
-    out.see(b, l, r, rank[a] < rank[b])
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def union(x: int, y: int) -> None:
-        x, y = root(x), root(y)
-        parent[max(x, y)] = min(x, y)
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        union(x, y)
-    linked = np.zeros(n, bool)
-    linked[a] = linked[b] = True
-    at = np.flatnonzero(linked)
-    roots = np.array([root(x) for x in at.tolist()], np.int64)
-    whole = np.zeros(n, bool)  # rows that match the first of their run
-    if len(at):
-        order = np.lexsort((rank[at], roots))
-        lead = np.append(True, np.diff(roots[order]) != 0)
-        first = at[order][np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
-        own = at[order]
-        l, r = rows.extend(own, first)
-        match = (l + r >= words) | rows.same_document(own, first)
-        whole[own[match]] = True
-        use = match & ~rows.same_document(own, first)
-        out.see(own[use], l[use], r[use], True)
-    # Where rows of one key are not all of one such run, their windows are compared as well.
-    bounds = np.append(np.flatnonzero(~joined), n)
-    odd = np.add.reduceat((~whole).astype(np.int64), bounds[:-1])
-    for s, e, c in zip(bounds[:-1].tolist(), bounds[1:].tolist(), odd.tolist()):
-        if e - s < 3 or not c and len({root(x) for x in range(s, e)}) == 1:
-            continue
-        for part, before, after in _shared_windows(rows.take(slice(s, e)), words, k):
-            part = part + s
-            linked[part] = True
-            first = part[rank[part].argmin()]
-            out.see(part, before, after, ~rows.same_document(part, first))
-            for x in part[1:].tolist():
-                union(int(part[0]), x)
-        out.mixed[s:e] = c > 0
-    for x in np.flatnonzero(linked).tolist():
-        out.run[x] = root(x)
-    return out
+def _windows(s: Suffixes):
+    """For each number of words from the suffix on, the windows of `words` words around it."""
+    some = np.unique(s.halves[1]) if s.halves is not None else np.arange(len(s.key))
+    for after in range(s.words - s.before, s.words + 1):
+        own = some[(s.right[some] >= after) & (s.left[some] >= s.words - after)]
+        if len(own):
+            yield {"key": s.hash(s.at[own] - (s.words - after), s.words).view(np.int64), "after": np.full(len(own), after, np.int32), "places": s.places.take(pa.array(own))}, s.row[own]
+
 
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of x are of the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
-def _apart(rows: DataFrame, words: int, k: int) -> DataFrame:
-    """Matches of suffixes however many there are of a key, in the columns of matches(): those that have a window in common with another document.
 
-    Windows are grouped by key, words from the suffix on, and hash; partial minima of the documents
-    leave a task. A run has the rows of a key of which the windows' first document is the same.
+def _suffixes(docs: DataFrame, words: int, k: int, make, more: str, *sets) -> DataFrame:
+    """Rows of make() for the suffixes of documents (d, t, w, x: the text, and where there is one, `at`: the keys that count), with d, t and w.
+
+    Sets of keys are broadcast and sorted. Suffixes of the first set (if None, all, unless there is a
+    second) are taken as they are, those of the second (or ALL) by their halves, which have to be in
+    the third, if there is one.
     """
-    before = words - k
+    kinds = {"key": "long", "r": "binary", "l": "binary", "right": "integer", "left": "integer", "after": "integer", "places": T.ArrayType(T.IntegerType())}
+    names = more.split(", ")
+    schema = T.StructType()
+    for c in names:
+        schema = schema.add(c, kinds[c])
+    for c in ("d", "t", "w"):
+        schema = schema.add(c, docs.schema[c].dataType)
+    marked = "at" in docs.columns
+
+    def made(part):
+        whole, hot, halves = (*(x if x is None or isinstance(x, str) else x.value for x in sets), None, None, None)[:3]
+        s = Suffixes(part.column("x"), words, k)
+        every = np.arange(len(s.key))
+        if marked:  # a list of the keys that count of each text
+            lists = part.column("at").to_pylist()
+            every = every[[x in own for x, own in zip(s.key.tolist(), map([set(x or ()) for x in lists].__getitem__, s.row.tolist()))]]
+        if hot is not None:
+            s.take(every if isinstance(hot, str) else every[_among(s.all["key"][every], hot)])
+            found = [(h[ok], use[ok]) for h, use in _halves(s) for ok in [slice(None) if halves is None else _among(h, halves)]]
+            s.halves = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+            yield from make(s)
+            s.halves = None
+        if whole is not None or hot is None:
+            s.take(every if whole is None else every[_among(s.all["key"][every], whole)])
+            yield from make(s)
 
-    def each(batches):
+    def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = Rows.of(b, words, before)
-                null = np.array(b.column(3).is_null())
-                d = np.where(null, 0, np.array(b.column(3).fill_null(0)))
-                yield x, null, d, [(after, use, h.view(np.int64)) for after, use, h in _windows(x, words, k)]
-
-    def table(names, *cols):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    def ends(batches):
-        names = ["key", "after", "h", "an", "ad", "at", "zn", "zd", "zt"]
-        for x, null, d, found in each(batches):
-            rank = x.rank()
-            for after, use, h in found:
-                if not len(use):
-                    continue
-                order = np.lexsort((rank[use], h, x.key[use]))
-                key, h, i = x.key[use][order], h[order], use[order]
-                lead = np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]))
-                first, last = i[lead], i[np.append(lead[1:], True)]
-                docs = [c[w] for w in (first, last) for c in (null, d, x.t)]
-                yield table(names, key[lead], np.full(len(first), after, np.int32), h[lead], *docs)
-
-    def all_of(batches):
-        names = ["key", "after", "h", "n", "d", "t", "pos"]
-        for x, null, d, found in each(batches):
-            for after, use, h in found:
-                yield table(names, x.key[use], np.full(len(use), after, np.int32), h, null[use], d[use], x.t[use], x.pos[use])
-
-    docs = rows.mapInArrow(ends, "key long, after int, h long, an boolean, ad long, at long, zn boolean, zd long, zt long")
-    ranges = docs.groupBy("key", "after", "h").agg(F.min(F.struct("an", "ad", "at")).alias("a"), F.max(F.struct("zn", "zd", "zt")).alias("z"))
-    differ = (F.col("a.an") != F.col("z.zn")) | (F.col("a.ad") != F.col("z.zd")) | (F.col("a.at") != F.col("z.zt"))
-    shared = written(ranges.where(differ).select("key", "after", "h", "a"), "suffix-windows")
-    side = F.broadcast(shared) if fits(shared, 100_000) else shared
-    own = rows.mapInArrow(all_of, "key long, after int, h long, n boolean, d long, t long, pos int").join(side, ["key", "after", "h"])
-    own = own.groupBy("key", "n", "d", "t", "pos", "a").agg(F.max(F.lit(words) - F.col("after")).alias("l"), F.max("after").alias("r"))
-    lo, hi = F.col("pos") - F.col("l"), F.col("pos") + F.col("r")
-    later = (F.col("a.an") != F.col("n")) | (F.col("a.ad") != F.col("d")) | (F.col("a.at") != F.col("t"))
-    run = F.xxhash64("key", "a.an", "a.ad", "a.at").bitwiseOR(F.lit(-(1 << 63)))  # below 0, where no other run is
-    glo, ghi = F.when(later, lo).otherwise(F.col("pos")), F.when(later, hi).otherwise(F.col("pos"))
-    spans = [lo.alias("lo"), hi.alias("hi"), glo.alias("glo"), ghi.alias("ghi"), lo.alias("slo"), hi.alias("shi")]
-    return own.select(run.alias("run"), F.when(~F.col("n"), F.col("d")).alias("d"), "t", *spans, F.lit(True).alias("mixed"))
+            size = np.cumsum(pc.binary_length(b.column("x")).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE)))
+                part = b.slice(lo, hi - lo)
+                lo = hi
+                for cols, row in made(part):
+                    if len(row):
+                        own = pa.array(row)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(cols[c]) for c in names), *(part.column(c).take(own) for c in ("d", "t", "w"))], names=schema.names)
 
+    return docs.mapInArrow(run, schema)
 
-def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8, most: int = 16_384) -> DataFrame:
-    """A row for each kept suffix in a passage that another document has too: run, d, t, and spans (words, from 0, without the end).
 
-    All rows of a run have a passage of at least `words` words in common with another row of it.
-    lo to hi is what other documents have, glo to ghi what an earlier one has as far as seen (else
-    empty), slo to shi what all rows that it was compared with have; mixed runs have several passages,
-    or need no more than glo to ghi. A task holds at most about `most` suffixes of one key; those of a
-    key that has more go through _apart(), and so do those of a range's first and last key.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "r", "d", "t", "pos"]
-    rows = suffixes(df, id_col, text_col, words, k).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    before = words - k
-    linked = "run long, d long, t long, lo int, hi int, glo int, ghi int, slo int, shi int, mixed boolean"
-    schema = f"{linked}, key long, r binary, l binary, pos int, n int"
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = dict(zip(names, [pa.int64()] * 3 + [pa.int32()] * 6 + [pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]))
+def _met(rows: DataFrame, tag: str) -> DataFrame:
+    """The keys that two documents have, and how many rows have them."""
+    return written(rows.groupBy("key").agg(F.min("w").alias("x"), F.max("w").alias("y"), F.count("*").alias("n")).where("x != y").select("key", "n"), tag)
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
-        held: Rows | None = None
-        apart = None  # the key of which all rows go on as they are
+def _sent(keys: DataFrame):
+    """The keys, sorted, for all tasks."""
+    return keys.sparkSession.sparkContext.broadcast(np.sort(keys.select("key").toArrow().column(0).to_numpy()))
 
-        def batch(size: int, **cols):
-            return pa.RecordBatch.from_arrays([pa.array(cols[c], kinds[c], from_pandas=True) if c in cols else pa.nulls(size, kinds[c]) for c in names], names=names)
 
-        def as_is(x: Rows):
-            wide = {c: [row.tobytes() for row in getattr(x, c)] for c in ("r", "l")}
-            return batch(len(x.key), d=x.d, t=x.t, key=x.key, pos=x.pos, n=x.n, **wide)
+def _lcp(x: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How many columns each row has in common with the row before it; 0 where the keys differ."""
+    out = np.zeros(len(x), np.int64)
+    differ = np.concatenate([x[1:] != x[:-1], np.ones((max(len(x) - 1, 0), 1), bool)], axis=1)
+    if len(x) > 1:
+        out[1:] = np.where(key[1:] == key[:-1], differ.argmax(axis=1), 0)
+    return out
 
-        def link(x: Rows):
-            nonlocal number
-            y = _link(x, words, k)
-            use = np.flatnonzero(y.run >= 0)
-            runs, own = np.unique(y.run[use], return_inverse=True)
-            own = own + ((part << 40) | number)
-            number += len(runs)
-            spans = {"lo": x.pos - y.lo, "hi": x.pos + y.hi, "glo": x.pos - y.glo, "ghi": x.pos + y.ghi, "slo": x.pos - np.minimum(y.slo, x.pos), "shi": x.pos + np.minimum(y.shi, x.n)}
-            return batch(len(use), run=own, d=x.d[use], t=x.t[use], mixed=y.mixed[use], **{c: v[use].astype(np.int32) for c, v in spans.items()})
 
+def link(key, r, l, reach_r, reach_l, rank, words: int, k: int):
+    """Of suffixes sorted by key and r: how far (words before, words after) other documents have what is around them, how far earlier
+    ones do, and the least document (as a rank) of those; 0, 0 where there is none of `words` words."""
+    n, before = len(key), l.shape[1]
+    lo, hi, glo, ghi = (np.zeros(n, np.int64) for _ in range(4))
+    first = np.full(n, np.iinfo(np.int64).max)
+    if n < 2:
+        return lo, hi, glo, ghi, first
+    right = _lcp(r, key)
+    wide = np.concatenate([key.astype(">i8").view(np.uint8).reshape(n, 8), np.ascontiguousarray(l).view(np.uint8).reshape(n, -1)], axis=1)
+    order = np.argsort(np.ascontiguousarray(wide).view(f"S{wide.shape[1]}").ravel(), kind="stable")
+    left = _lcp(l[order], key[order])
+
+    def most(x):  # the longest match of a sorted row is with a neighbour
+        return np.maximum(x, np.append(x[1:], 0))
+
+    can_r, can_l = np.minimum(most(right), reach_r), np.empty(n, np.int64)
+    can_l[order] = most(left)
+    can_l = np.minimum(can_l, reach_l)
+    live = np.flatnonzero(can_r + can_l >= words)
+    of_left = np.empty(n, np.int64)
+    for after in range(k, words + 1):
+        b = words - after
+        use = live[(can_r[live] >= after) & (can_l[live] >= b)]
+        if len(use) < 2:
+            continue
+        of_right = np.cumsum(right < after)  # rows with these words from the suffix on stand together
+        of_left[order] = np.cumsum((left < b) | np.append(True, key[order][1:] != key[order][:-1]))
+        code = of_right[use] * (n + 1) + of_left[use]
+        turn = np.argsort(code, kind="stable")
+        use, code = use[turn], code[turn]
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        size = np.diff(np.append(start, len(use)))
+        a = np.repeat(np.minimum.reduceat(rank[use], start), size)
+        shared = a != np.repeat(np.maximum.reduceat(rank[use], start), size)
+        use, a = use[shared], a[shared]
+        lo[use], hi[use] = np.maximum(lo[use], b), np.maximum(hi[use], after)
+        first[use] = np.minimum(first[use], a)
+        late = use[rank[use] > a]
+        glo[late], ghi[late] = np.maximum(glo[late], b), np.maximum(ghi[late], after)
+    return lo, hi, glo, ghi, first
+
+
+def _ranks(d: pa.Array, t: pa.Array) -> np.ndarray:
+    """Of rows' documents: by id, nulls last, then by text hash."""
+    one = pc.rank(d, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    two = pc.rank(t, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+    return one * (len(two) + 1) + two
+
+
+def _linked(rows: DataFrame, words: int, k: int) -> DataFrame:
+    """Matches of the rows of _contexts(), dealt by key and sorted by r."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "r")
+    kind = rows.schema["d"].dataType
+    schema = T.StructType().add("d", kind).add("t", "long").add("places", T.ArrayType(T.IntegerType()))
+    for c in ("lo", "hi", "glo", "ghi"):
+        schema = schema.add(c, "integer")
+    schema = schema.add("first", kind)
+
+    def table(x: pa.Table):
+        x = x.combine_chunks()
+        one = {c: x.column(c).combine_chunks() if isinstance(x.column(c), pa.ChunkedArray) else x.column(c) for c in x.column_names}
+
+        def context(c, width):
+            return np.frombuffer(b"".join(one[c].to_pylist()), np.uint32).reshape(-1, width)
+
+        rank = _ranks(one["d"], one["t"])
+        *spans, first = link(one["key"].to_numpy(), context("r", words), context("l", words - k), one["right"].to_numpy(), one["left"].to_numpy(), rank, words, k)
+        use = np.flatnonzero(spans[1])
+        known, row = np.unique(rank, return_index=True)
+        own = pa.array(use)
+        return pa.RecordBatch.from_arrays(
+            [*(one[c].take(own) for c in ("d", "t", "places")), *(pa.array(x[use].astype(np.int32)) for x in spans), one["d"].take(pa.array(row[np.searchsorted(known, first[use])]))], names=schema.names
+        )
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        count = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            x = Rows.of(b, words, before)
-            if apart is None:
-                apart = x.key[0]  # the range before may end with it
-            at = int(np.searchsorted(x.key, apart, "right"))
-            if at:
-                yield as_is(x.take(slice(0, at)))
-                x = x.take(slice(at, None))
-                if not len(x.key):
-                    continue
-            if held is not None:
-                x = held + x
-            # Rows of the last key wait for more of it.
-            cut = int(np.searchsorted(x.key, x.key[-1]))
+            held.append(b)
+            count += b.num_rows
+            if count < ROWS:
+                continue
+            x = pa.Table.from_batches(held)
+            keys = x.column("key").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # rows of the last key wait for more of it
             if cut:
-                yield link(x.take(slice(0, cut)))
-            held = x.take(slice(cut, None))
-            if len(held.key) > most:
-                yield as_is(held)
-                apart, held = held.key[0], None
-        if held is not None:
-            yield as_is(held)  # the next range may begin with it
+                yield table(x.slice(0, cut))
+                held, count = x.slice(cut).to_batches(), len(keys) - cut
+        if held:
+            yield table(pa.Table.from_batches(held))
 
-    found = written(rows.mapInArrow(run, schema), "suffix-runs")
-    few = found.where("run is null").select(*[x.split()[0] for x in _KIND.split(", ")])
-    return found.where("run is not null").select(*names[:10]).union(_apart(few, words, k))
+    return rows.mapInArrow(run, schema)
+
+
+def _by_windows(windows: DataFrame, words: int) -> DataFrame:
+    """Matches of the rows of _windows(), however many there are of one: windows are grouped by their hashes, with partial minima, and cut to those that two documents have."""
+    windows = written(windows, "suffix-windows")
+    at = F.struct(F.col("d").isNull().alias("n"), "d", "t")
+    shared = written(windows.groupBy("key").agg(F.min("w").alias("x"), F.max("w").alias("y"), F.min(at).alias("a")).where("x != y").select("key", "a"), "suffix-shared")
+    own = windows.join(F.broadcast(shared) if fits(shared, 100_000) else shared, "key")
+    late = F.col("a") != at
+    before = F.lit(words) - F.col("after")
+    least = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("int")
+    own = own.groupBy("d", "t", "places").agg(
+        least(before).alias("lo"), least("after").alias("hi"), least(F.when(late, before)).alias("glo"), least(F.when(late, F.col("after"))).alias("ghi"), F.min("a").alias("a")
+    )
+    return own.select("d", "t", "places", "lo", "hi", "glo", "ghi", F.col("a.d").alias("first"))
+
+
+def _marked(docs: DataFrame, keys: DataFrame, words: int, k: int) -> DataFrame:
+    """docs with `at`, those of the keys that they have, found by a join; documents without one go."""
+    rows = _suffixes(docs, words, k, _keys, "key").join(keys.select("key"), "key").groupBy("w").agg(F.collect_set("key").alias("at"))
+    return docs.join(rows, "w").select("d", "t", "w", "x", "at")
+
+
+def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8, most: int = 16_384) -> DataFrame:
+    """A row for each kept suffix in a passage that another document has too: d, t, its places in the text (words from 0), and words before and after.
+
+    lo and hi words is how far the windows of `words` words around the suffix reach that other
+    documents have, glo and ghi words those that an earlier one has (else 0 and 0); first is the id
+    of the earliest document with one of them. A task holds at most `most` suffixes of one key. Suffixes of keys that
+    have more go by their halves, of which each window around them has one whole; those of halves
+    that have more than `most` are matched by grouping the hashes of their windows.
+    """
+    docs = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("x"))
+    docs = docs.select("d", "t", F.xxhash64("d", "t").alias("w"), "x")
+    split = lambda met: (met.where(F.col("n") <= most), met.where(F.col("n") > most))
+    sent = lambda keys: _sent(keys) if fits(keys, BROADCAST_KEYS) else None
+    schema = "key, r, l, right, left, places"
+    cold, hot = split(_met(_suffixes(docs, words, k, _keys, "key"), "suffix-keys"))
+
+    def whole():
+        if own is not None:
+            return _suffixes(docs, words, k, _contexts, schema, own)
+        return _suffixes(_marked(docs, cold, words, k), words, k, _contexts, schema)
+
+    own = sent(cold)
+    if fits(hot, 0):
+        return _linked(whole(), words, k)
+    hot_keys = sent(hot)
+    some, of_hot = (docs, hot_keys) if hot_keys is not None else (_marked(docs, hot, words, k), ALL)
+    halves, full = split(_met(_suffixes(some, words, k, _half_keys, "key", hot_keys), "suffix-halves"))
+    half_keys = sent(halves)
+    if own is not None and hot_keys is not None and half_keys is not None:
+        out = _linked(_suffixes(docs, words, k, _contexts, schema, own, hot_keys, half_keys), words, k)
+    else:
+        rows = _suffixes(some, words, k, _contexts, schema, None, of_hot, half_keys)
+        out = _linked(whole().unionByName(rows if half_keys is not None else rows.join(halves.select("key"), "key", "left_semi")), words, k)
+    if fits(full, 0):
+        return out
+    return out.union(_by_windows(_suffixes(some, words, k, _windows, "key, after, places", None, of_hot, sent(full)), words))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -416,47 +425,53 @@ def _without(spans: list[tuple[int, int]], gone: list[tuple[int, int]]) -> list[
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8, most: int = 16_384) -> DataFrame:
     """A row for each repeated passage of a document: id, t, lo, hi (words from 0, without hi), dropped, first id.
 
-    Passages have at least `words` words that another document has too; those of a document that
-    touch are one. `dropped` says that the passage, or its part of that kind, comes first elsewhere:
-    in the document of least id (nulls last; then of least text hash), which `first` names.
-    Words are runs of bytes without ASCII white space, A-Z in lower case. Null, empty and short
-    texts have no passages; rows with the same id and text are one document.
+    A word belongs to a passage if a window of `words` words around it is in another document too;
+    passages of a document that touch are one. `dropped` says that the windows are in an earlier
+    document: one of lesser id (nulls last; then of lesser text hash). `first` is the id of the
+    earliest document with a window of the passage. Words are runs of bytes without ASCII white
+    space, A-Z in lower case. Null, empty and short texts have no passages; rows with the same id
+    and text are one document; ids are of any type that has an order; other columns are ignored.
     """
-    found = written(matches(df, id_col, text_col, words, k, most).distinct(), "suffix-spans")
-    least = found.groupBy("run").agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "t")).alias("f"), F.max("mixed").alias("several"))
-    own = found.join(least, "run")
-    later = ~(F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t")))
-    # A row that no earlier one was compared with, as where a range ended, of a run with one passage.
-    rest = later & ~F.col("several") & (F.col("ghi") == F.col("glo")) & (F.col("shi") - F.col("slo") >= words)
-    a, b = F.when(rest, F.col("slo")).otherwise(F.col("glo")), F.when(rest, F.col("shi")).otherwise(F.col("ghi"))
-    own = own.select("d", "t", "lo", "hi", a.alias("a"), b.alias("b"), F.col("f.d").alias("first"))
-    groups = own.groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi", "a", "b", "first")).alias("s"))
-    schema = "d long, t long, lo int, hi int, dropped boolean, first long"
+    found = matches(df, id_col, text_col, words, k, most)
+    kind = df.schema[id_col].dataType
+    groups = found.groupBy("d", "t").agg(F.collect_set(F.struct("places", "lo", "hi", "glo", "ghi", "first")).alias("s"))
+    schema = T.StructType().add("d", kind).add("t", "long").add("lo", "integer").add("hi", "integer").add("dropped", "boolean").add("first", kind)
 
     def run(batches):
         for b in batches:
-            rows = []
-            for d, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                every = _merged([(x["lo"], x["hi"]) for x in s])
-                gone = _merged([(x["a"], x["b"]) for x in s if x["a"] < x["b"]])
-                for lo, hi, away in [(*x, True) for x in gone] + [(*x, False) for x in _without(every, gone)]:
-                    ids = [x["first"] for x in s if x["lo"] < hi and x["hi"] > lo and x["first"] is not None]
-                    rows.append((d, t, lo, hi, away, min(ids, default=None)))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], names=["d", "t", "lo", "hi", "dropped", "first"])
+            doc, rows = [], []
+            for i, s in enumerate(b.column(2).to_pylist()):
+                spans = sorted((p - x["lo"], p + x["hi"], at) for at, x in enumerate(s) for p in x["places"])
+                every = _merged([x[:2] for x in spans])
+                gone = _merged([(p - x["glo"], p + x["ghi"]) for x in s if x["ghi"] for p in x["places"]])
+                near = 0
+                for lo, hi, away in sorted([(*x, True) for x in gone] + [(*x, False) for x in _without(every, gone)]):
+                    while near < len(spans) and spans[near][1] <= lo and spans[near][0] < lo:
+                        near += 1
+                    ids = []
+                    for start, end, at in spans[near:]:
+                        if start >= hi:
+                            break
+                        if end > lo and s[at]["first"] is not None:
+                            ids.append(s[at]["first"])
+                    doc.append(i)
+                    rows.append((lo, hi, away, min(ids, default=None)))
+            own = pa.array(doc, pa.int64())
+            cols = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), b.schema.field(0).type)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), *(pa.array(c, x) for c, x in zip(cols, kinds))], names=schema.names)
 
     return groups.mapInArrow(run, schema).withColumnRenamed("d", id_col)
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 50, k: int = 8, most: int = 16_384) -> DataFrame:
-    """df with texts without their dropped passages; documents without any word left go, if they had one.
+    """df with texts without their dropped passages, as passages() tells; documents without any word left go, if they had one.
 
-    The white space after a dropped word goes with it.
+    The white space after a dropped word goes with it. All columns of df stay, whatever their names.
     """
-    gone = passages(df, id_col, text_col, words, k, most).where("dropped").groupBy(F.col(id_col).alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("_s"))
-    cols = [F.col(c) for c in df.columns]
-    out = df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_d"]) & (F.xxhash64(df[text_col]) == gone["_t"]), "left")
+    d, t, spans = fresh(df, "d", "t", "spans")
+    gone = passages(df, id_col, text_col, words, k, most).where("dropped").groupBy(F.col(id_col).alias(d), F.col("t").alias(t)).agg(F.collect_list(F.struct("lo", "hi")).alias(spans))
+    out = df.join(gone, df[id_col].eqNullSafe(gone[d]) & (F.xxhash64(df[text_col]) == gone[t]), "left")
     names = df.columns
     at = names.index(text_col)
     schema = df.schema
@@ -482,4 +497,4 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
             cols = [pa.array(texts, pa.string()) if j == at else b.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return out.select(*cols, "_s").mapInArrow(run, schema)
+    return out.select(*[df[c] for c in names], spans).mapInArrow(run, schema)
