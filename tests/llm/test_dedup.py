@@ -123,6 +123,33 @@ def test_simhash_stage(spark, table):
     assert kept.count(1) == 2  # rows of the same id and text are one document
 
 
+@pytest.mark.parametrize("block", [512, 6])
+def test_simhash_stage_against_brute_force(spark, block):
+    """Copies with 1 to 15 changed words: those linked by the sets of shingles go, no others, whatever the block."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(120, 200))]
+        rows.append((f"a{i:02}", " ".join(w)))
+        for j in range(4):
+            x = list(w)
+            for _ in range(rng.choice([0, 1, 1, 2, 8, 15])):
+                x[rng.randrange(len(x))] = "changed"
+            rows.append((f"b{i:02}{j}", " ".join(x)))
+    rows += [(None, rows[0][1]), (None, "x"), ("c", "X "), ("d", None), ("e", " "), ("f", " ")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for _, t in rows for w in [(t or "").lower().split()]]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][1] and rows[i][1].strip() and sets[i] & sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp = components(len(rows), pairs)
+    first = {}
+    for at in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or "", k)):
+        first.setdefault(comp[at], at)
+    want = sorted((rows[k] for k in first.values()), key=str)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id string, text string, t int, _t int, c int")
+    out = simhash.deduplicate(df, block=block)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == want and out.columns == df.columns and 40 < len(want) < 120
+
+
 def test_repeated_passages(spark, table, docs):
     found = [r for r in suffixes.passages(table.where("doc_id <> 1")).collect()]
     shared = {r.doc_id: r for r in found if 120 <= r.doc_id < 124}

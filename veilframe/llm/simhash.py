@@ -1,6 +1,6 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Every document has a 64-bit fingerprint, and where asked for a longer one to verify with. Correlated
+Every document has a 64-bit fingerprint, and where asked for a longer one to verify with; deduplicate() settles by the sets of shingles. Correlated
 bits are grouped into partitions; a dynamic program gives each partition its own threshold, of which
 the sum guarantees that two fingerprints within the radius agree up to that threshold in some
 partition. Fingerprints meet in buckets of what they then share and are verified there; buckets that
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, written
+from ._common import connected_components, fits, fresh, written
 
 SEED = 42
 _ALL = (1 << 64) - 1
@@ -159,6 +159,8 @@ def masks_for(co: np.ndarray, n: int, radius: int) -> list[int]:
         cost, thresholds = allocate(costs, radius - m + 1)
         if sum(comb(len(_bits(x)), t) for x, t in zip(own, thresholds) if t >= 0) <= MOST_MASKS:
             choices.append((cost, thresholds, own))
+    if not choices:
+        raise ValueError(f"a radius of {radius} of 64 bits needs more than {MOST_MASKS} masks")
     _, thresholds, own = min(choices, key=lambda c: c[0])
     out = []
     for t, x in zip(thresholds, own):
@@ -282,27 +284,104 @@ def near_duplicates(
     )
 
 
-def similar_bits(similarity: float, bits: int) -> int:
-    """How many of so many bits differ between sets of that Jaccard similarity and equal size, on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(math.acos(cosine) / math.pi * bits)
+def similar_bits(similarity: float, bits: int, spare: float = 0.0) -> int:
+    """How many of so many bits differ between sets of that Jaccard similarity and equal size, on average and by so many standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(p * bits + spare * math.sqrt(p * (1 - p) * bits))
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, spare: int = 1, words: int = 4) -> DataFrame:
+def shingles_of(df: DataFrame, n: int) -> DataFrame:
+    """c and t of df, and s: the sorted hashes of the different n-word shingles of the text x, as bytes."""
+
+    def run(batches):
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        for b in batches:
+            out = []
+            for x in b.column(2).to_pylist():
+                w = x.lower().split()
+                own = map(b" ".join, zip(*(w[i:] for i in range(n)))) if len(w) >= n else [b" ".join(w)]
+                out.append(np.sort(np.fromiter({digest(y, SEED) for y in own}, np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["c", "t", "s"])
+
+    return df.select("c", "t", F.col("x").cast("binary").alias("x")).mapInArrow(run, "c long, t long, s binary")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is that or more."""
+    size = np.array([len(x) for x in sets])
+    start = np.append(0, np.cumsum(size)[:-1])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    i, j, mark = [], [], np.zeros(code.max() + 1, np.int64)
+    for k in range(len(sets) - 1):
+        own = code[start[k] : start[k] + size[k]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[code[start[k + 1] :]], start[k + 1 :] - start[k + 1])
+        mark[own] = 0
+        near = np.flatnonzero(both >= similarity * (size[k] + size[k + 1 :] - both) - 1e-9)
+        i.append(np.full(len(near), k))
+        j.append(near + k + 1)
+    return forest(len(sets), np.concatenate(i), np.concatenate(j))
+
+
+def similar_links(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Edges (u, v) between the texts t that join all similar ones of a cluster c, a forest of each group; s as shingles_of() gives it.
+
+    A cluster of more than `block` texts (one counts once more for each 4096 shingles) is cut into
+    blocks of half that on average, of which any two meet.
+    """
+    weight = F.floor(F.length("s") / (8 * 4096)) + 1
+    full = members.groupBy("c").agg(F.sum(weight).alias("w")).where(F.col("w") > block)
+    full = written(full.select("c", F.ceil(F.col("w") * 2 / block).cast("int").alias("blocks")), "simhash-full")
+    at = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != at)
+    pairs = F.transform(others, lambda i: F.struct(F.least(i, at).alias("i"), F.greatest(i, at).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    dealt = members.join(F.broadcast(full) if fits(full, 100_000) else full, "c", "left")
+    dealt = dealt.select("c", "t", "s", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("at"))
+    groups = dealt.groupBy("c", "at").agg(F.collect_list(F.struct("t", "s")).alias("g")).select("g")
+
+    def run(batches):
+        for b in batches:
+            u, v = [], []
+            for g in b.column(0):
+                t = [x["t"].as_py() for x in g]
+                if len(t) > 1:
+                    for i, j in similar_sets([np.frombuffer(x["s"].as_py(), np.uint64) for x in g], similarity):
+                        u.append(t[i])
+                        v.append(t[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return groups.mapInArrow(run, "u long, v long").distinct()
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, spare: int = 3, words: int = 4, block: int = 512) -> DataFrame:
     """df with one document of each group of near-duplicates: that of the least id (nulls last, then of the least text hash).
 
-    Documents are linked if their fingerprints of n-word shingles say a similarity of that or more:
-    by all their words, met over a radius on the first word with `spare` bits for what chance adds
-    there. Rows with the same id and text are one document and stay or go together, and so do rows
-    with a null id that are linked with no other. Null and wordless texts have nothing to compare
-    and stay.
+    Documents are linked if the sets of their n-word shingles have that Jaccard similarity or more.
+    Fingerprints find the candidates: within a radius on the first word, with `spare` bits for what
+    chance adds there, and two standard deviations on all `words` words. Clusters of candidates are
+    then compared by their sets, so that no other documents are linked; a pair that chance takes
+    apart by more bits may be missed. Rows with the same id and text are one document and stay or go
+    together. Null and wordless texts have nothing to compare and stay. Ids are of any type that has
+    an order; all columns stay, whatever their names; an empty table gives no rows.
     """
-    names = df.columns
-    wordless = ~F.coalesce(F.col(text_col).cast("binary").cast("string").rlike("[^ \\t-\\r]"), F.lit(False))
-    some = df.where(~wordless)
-    radius = similar_bits(similarity, 64) + spare
-    found = near_duplicates(some.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("t")), "d", "x", n, radius, ("t",), words, similar_bits(similarity, 64 * words))
-    first = found.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col("d").isNull().alias("n"), "d", "t")).alias("f"), F.count("*").alias("k"))
-    gone = found.join(first.where("k > 1 and c is not null"), F.col("component_id") == F.col("c")).where(~(F.col("d").eqNullSafe(F.col("f.d")) & (F.col("t") == F.col("f.t")))).select("d", "t").distinct()
-    gone = gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"))
-    return df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_d"]) & (F.xxhash64(df[text_col]) == gone["_t"]), "left_anti").select(*names)
+    has_words = F.coalesce(F.col(text_col).cast("binary").cast("string").rlike("[^ \\t-\\r]"), F.lit(False))
+    some = df.where(has_words).select(F.col(id_col).alias("d"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("t"))
+    found = near_duplicates(some, "t", "x", n, similar_bits(similarity, 64) + spare, (), words, similar_bits(similarity, 64 * words, 2.0))
+    texts = written(found.groupBy("t").agg(F.min("component_id").alias("c")), "simhash-texts")
+    several = texts.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
+    mates = written(texts.join(several, "c"), "simhash-mates")
+    sets = shingles_of(some.join(F.broadcast(mates) if fits(mates, 500_000) else mates, "t").select("c", "t", "x"), n)
+    members = written(sets.groupBy("c", "t").agg(F.min("s").alias("s")), "simhash-members")
+    parts = connected_components(similar_links(members, similarity, block)).select(F.col("node").alias("t"), F.col("component").alias("c"))
+    parts = written(parts, "simhash-parts")
+    every = some.select("d", "t").distinct().join(F.broadcast(parts) if fits(parts, 500_000) else parts, "t", "left")
+    every = every.select(F.coalesce("c", "t").alias("c"), F.struct(F.col("d").isNull().alias("n"), "d", "t").alias("at"))
+    first = written(every.groupBy("c").agg(F.min("at").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"), "simhash-first")
+    gone = every.join(F.broadcast(first) if fits(first, 250_000) else first, "c").where("at != first")
+    d, t = fresh(df, "d", "t")
+    gone = written(gone.select(F.col("at.d").alias(d), F.col("at.t").alias(t)), "simhash-gone")
+    side = F.broadcast(gone) if fits(gone, 500_000) else gone
+    return df.join(side, df[id_col].eqNullSafe(gone[d]) & (F.xxhash64(df[text_col]) == gone[t]), "left_anti").select(*df.columns)
