@@ -17,7 +17,7 @@ def docs():
     rows += [(100 + i, rows[i][1], "en", "src0") for i in range(5)]  # exact copies
     rows += [(110 + i, rows[20 + i][1].replace(" ", " zz ", 1), "en", "src0") for i in range(5)]  # near copies
     rows += [(120 + i, text(40) + " " + shared + " " + text(40), "en", "src1") for i in range(4)]
-    rows += [(130, None, None, None), (131, "", "en", None), (132, " \n\t ", "en", "src0"), (133, "é ü 漢字 😀 <turn user>\\l", "en", "src2"), (134, text(30_000), "en", "src3"), (1, rows[1][1], "de", "src1")]
+    rows += [(130, None, None, None), (131, "", "en", None), (132, " \n\t ", "en", "src0"), (133, "é ü 漢字 😀 <turn user>\\l <|endoftext|>", "en", "src2"), (134, text(30_000), "en", "src3"), (1, rows[1][1], "de", "src1")]
     return rows
 
 

@@ -13,11 +13,10 @@ from veilframe.llm import bpe, lattice_lm, packing
 
 def test_packing_pieces_and_sequences(spark, docs, table):
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = {}
     for i, t, *_ in docs:
         want.setdefault(i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], "<u4"))
-    pieces = packing.pack(table, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    pieces = packing.pack(table, P.path("byte_bpe_50k.json"), P.PATTERN)
     rows = pieces.toPandas()
     got = {i: np.zeros(len(x), int) for i, x in want.items()}
     for r in rows.itertuples():
@@ -38,6 +37,17 @@ def test_packing_pieces_and_sequences(spark, docs, table):
     assert (abs(first - 1024 * share) <= 8).all(axis=None)
 
 
+def test_packing_ids_are_those_of_the_library():
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = packing.load_encoding(P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert encode("a<|endoftext|>b").tolist() == [64, 50256, 65]
+    rng = random.Random(1)
+    parts = ["<|endoftext|>", "<|", "endoftext", "|>", " ", "  ", "\n", "\t", "\x00", "a", "the", "1", "'s", "é", "漢", "😀", "Ω", "\u0301"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_targets_carry_deficits():
     phases = packing.schedule(np.array([5000, 3000, 10]), np.array([0.7, 0.3, 0.0]), 100, 4)
     assert sum(p.length * p.repeats for p in phases) == 8010
@@ -57,7 +67,7 @@ def test_packing_of_many_sources(spark):
     named = {i: s for i, _, s in rows}
 
     def packed(**more):
-        out = packing.pack(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ids=False, **more).toPandas()
+        out = packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN, ids=False, **more).toPandas()
         assert all(named[i] == s for i, s in zip(out.doc_id, out.source))
         got = out.groupby("doc_id").agg(a=("length", "sum"), b=("doc_tokens", "first"))
         assert len(got) == len(rows) and (got.a == got.b).all()
@@ -75,11 +85,11 @@ def test_packing_of_many_sources(spark):
     assert set(first.source) == {"hot", "s0"} and abs(first[first.source == "hot"].length.sum() - 768) <= 2
     for bad in ({"none": 1.0}, {"hot": -1.0}, {}):
         with pytest.raises(ValueError):
-            packing.pack(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, targets=bad)
+            packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN, targets=bad)
 
 
 def test_packing_empty(spark, table):
-    assert packing.pack(table.where("false"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert packing.pack(table.where("false"), P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
 @pytest.fixture(scope="module")

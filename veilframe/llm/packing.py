@@ -128,23 +128,46 @@ def place(phases: list[Phase], queue: int, start: int, end: int) -> tuple[np.nda
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (q, g, n))
 
 
-def tokenised(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, queue) -> DataFrame:
+def load_encoding(path: str, pattern: str):
+    """The ids that the `tokenizers` library gives by a byte-level BPE file of its, without special tokens around a text.
+
+    The strings of added tokens within a text are these tokens, as there. The merges are done by
+    another library, by rank; so a merge's rank must be the id of what it makes, else ValueError.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    vocab, merges = found["model"]["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in found["model"]["merges"]]
+    added = {x["content"]: x["id"] for x in found["added_tokens"]}
+    if found["model"]["type"] != "BPE" or found["normalizer"] or any(x[k] for x in found["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"not a plain byte-level BPE: {path}")
+    # Bytes that are printable stand for themselves, the others in order for the characters from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+    ranks = {bytes(map(of.__getitem__, t)): i for t, i in vocab.items() if t not in added}
+    if any(vocab[a + b] != 256 + i for i, (a, b) in enumerate(merges)) or len(ranks) != 256 + len(merges):
+        raise ValueError(f"merges are not in the order of ids: {path}")
+    encoding = tiktoken.Encoding("rows", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+
+
+def tokenised(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str, text_col: str, queue) -> DataFrame:
     """Per row: id, queue, part (the task that read it), pos (tokens of its queue before it there), n, ids (unsigned 16-bit)."""
     few = df.select(F.col(id_col).alias("id"), queue.alias("queue"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     schema = few.drop("t").schema.add("part", "integer").add("pos", "long").add("n", "long").add("ids", "binary")
 
     def run(batches):
-        import tiktoken
         from pyspark import TaskContext
 
-        from .bpe import load_ranks
-
         part, seen = TaskContext.get().partitionId(), {}
-        encode = tiktoken.Encoding("rows", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}).encode_to_numpy
+        encode = load_encoding(tokenizer_path, pattern)
         for b in batches:
             pos, n, ids = [], [], []
             for q, t in zip(b.column(1).to_pylist(), b.column(2)):
-                x = np.append(encode(t.as_py(), disallowed_special=()), 0).astype("<u2")
+                x = np.append(encode(t.as_py()), 0).astype("<u2")
                 pos.append(seen.get(q, 0))
                 n.append(len(x))
                 seen[q] = pos[-1] + len(x)
@@ -156,12 +179,12 @@ def tokenised(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_co
 
 
 def pack(
-    df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    df: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     targets: dict[str, float] | None = None, window: int = 1024, cycle: int = 64, quantum: int = 1, ids: bool = True,
 ) -> DataFrame:
     """Pieces of documents in sequences: id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with `ids`, ids (binary, unsigned 16-bit).
 
-    The vocabulary has at most 65,536 ids; after each document comes id 0. Without targets the
+    Ids are those of load_encoding(), of 65,536 at most; after each document comes id 0. Without targets the
     queues keep the proportions of all tokens, so that no queue runs dry before the end; a source
     without a target comes last. Every source that has a target or a share of a token in a cycle has
     a queue of its own; the others share one that has the sum of their weights. Targets that cannot
@@ -172,7 +195,7 @@ def pack(
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col in df.columns else F.lit("")
     if targets is not None and not all(0 <= x < float("inf") for x in targets.values()):
         raise ValueError("targets must be finite and not negative")
-    rows = written(tokenised(df, ranks_path, pattern, id_col, text_col, source), "pack-ids")
+    rows = written(tokenised(df, tokenizer_path, pattern, id_col, text_col, source), "pack-ids")
     parts = written(rows.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-parts")
     sources = parts.groupBy("queue").agg(F.sum("n").alias("n"))
     total = sources.agg(F.sum("n")).first()[0] or 0

@@ -15,7 +15,7 @@ def _table(spark, sf_dir: str, name: str):
 
 def op1_packing(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ids=False)
 
 
 def op2_lm_scoring(spark, sf_dir):
