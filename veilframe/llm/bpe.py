@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 8192
-LEAF_BYTES = 64
+LEAF_CHARS = 1024
+SHORT = 12  # spans of so many bytes are remembered
 AHEAD = 3  # a contraction looks so far ahead
 
 
@@ -36,20 +36,32 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000):
         import regex
-        import tiktoken
 
         self.ranks, self.pattern, self.limit = ranks, regex.compile(pattern), cache
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.token[v] = k
+        self.byte = [[ranks[bytes([i])]] if bytes([i]) in ranks else None for i in range(256)]
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.spans: dict[bytes, list[int]] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
 
     # -- inside a match --------------------------------------------------------------------------
     def merge(self, piece: bytes) -> list[int]:
-        """The library's merges of a short piece."""
-        return self.leaf(piece) if piece else []
+        """Merges by rank, the least first and from the left, of a window."""
+        if len(piece) > 32:
+            return self.merge_long(piece)
+        get, parts = self.ranks.get, [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                r = get(parts[i] + parts[i + 1])
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[p] for p in parts]
 
     def merge_long(self, piece: bytes) -> list[int]:
         """Merges by rank in n log n steps, for windows that do not settle early."""
@@ -73,33 +85,40 @@ class Codec:
                 heappush(heap, (r, h, parts[i], len(parts[h])))
         return [self.ranks[p] for p in parts if p is not None]
 
-    def valid(self, a: int, b: int) -> bool:
-        """Whether a, b is the encoding of their bytes."""
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of the bytes of two tokens, which is valid as it is if it is these two."""
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) >= self.limit:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
+            found = self.pairs[a, b] = self.merge(self.token[a] + self.token[b])
         return found
 
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes together."""
         if not left or not right:
             return left + right
-        k = 1
+        k, mid = 1, self.pair(left[-1], right[0])
         while True:
             i, j = max(0, len(left) - k), min(len(right), k)
-            window = b"".join(map(self.token.__getitem__, left[i:] + right[:j]))
-            mid = self.merge(window) if len(window) <= 2 * LEAF_BYTES else self.merge_long(window)
-            if (i == 0 or self.valid(left[i - 1], mid[0])) and (j == len(right) or self.valid(mid[-1], right[j])):
+            if (i == 0 or self.pair(left[i - 1], mid[0]) == [left[i - 1], mid[0]]) and (j == len(right) or self.pair(mid[-1], right[j]) == [mid[-1], right[j]]):
                 return left[:i] + mid + right[j:]
             k *= 2
+            mid = self.merge(b"".join(map(self.token.__getitem__, left[-k:] + right[:k])))
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF_BYTES:
-            return self.merge(piece)
-        half = len(piece) // 2
-        return self.join_tokens(self.tree(piece[:half]), self.tree(piece[half:]))
+        """By halves, down to single bytes."""
+        n = len(piece)
+        if n < 2:
+            return self.byte[piece[0]] if n else []
+        found = self.spans.get(piece)
+        if found is None:
+            found = self.join_tokens(self.tree(piece[: n // 2]), self.tree(piece[n // 2 :]))
+            if n <= SHORT:
+                if len(self.spans) >= self.limit:
+                    self.spans.clear()
+                self.spans[piece] = found
+        return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -112,7 +131,7 @@ class Codec:
             if len(self.known) >= self.limit:
                 self.known.clear()
             found = array("I", self.encode_piece(match.encode())).tobytes()
-            if len(match) <= LEAF_BYTES:
+            if len(match) <= 64:
                 self.known[match] = found
         return found
 
