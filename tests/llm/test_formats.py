@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.llm import chat, jpeg, langid
@@ -163,3 +164,236 @@ def test_query_goes_through_records(spark):
     got = chat.format_records(chat.records(df)).collect()
     assert {r.layout for r in got} == {"table"}
     assert sorted(map(str, (r.asDict() for r in chat.digests(chat.format_records(chat.records(df))).collect()))) == sorted(map(str, (r.asDict() for r in chat.digests(chat.format_rows(df)).collect())))
+
+
+class StreamWriter:
+    """Writes known coefficients as a JPEG with codes of many lengths; not the library's own writer."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, n):
+        self.bits += [(value >> i) & 1 for i in range(n - 1, -1, -1)]
+
+    def symbol(self, s):
+        # Two symbols of one to three bits each, then the others of sixteen, in order of their values.
+        order = {0: (0, 2), 1: (1, 2), 0x11: (4, 3), 2: (5, 3)}
+        code = order.get(s)
+        if code is None:
+            rest = [x for x in range(256) if x not in order]
+            code = (0xC000 + rest.index(s), 16)
+        self.put(*code)
+
+    @staticmethod
+    def table(kind):
+        order = [0, 1, 0x11, 2]
+        rest = [x for x in range(256) if x not in order]
+        counts = [0, 2, 2] + [0] * 12 + [252]
+        return segment(0xC4, bytes([kind << 4]) + bytes(counts) + bytes(order + rest))
+
+    def value(self, v, n):
+        self.put(v if v > 0 else v + (1 << n) - 1, n)
+
+    def done(self):
+        bits = self.bits + [1] * (-len(self.bits) % 8)
+        self.bits = []
+        return np.packbits(np.array(bits, np.uint8)).tobytes().replace(b"\xff", b"\xff\x00")
+
+
+def segment(kind, body):
+    return b"\xff" + bytes([kind]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def toward_zero(v, al):
+    return (abs(v) >> al) * (1 if v > 0 else -1)
+
+
+def write_jpeg(size, samplings, coefs, quant, progressive, restart=0):
+    """coefs: by component, rows by columns by 64 in zigzag order, of whole MCUs."""
+    height, width = size
+    h, v = max(x for x, _ in samplings), max(y for _, y in samplings)
+    cols, rows = -(-width // (8 * h)), -(-height // (8 * v))
+    n, w = len(samplings), StreamWriter()
+    out = b"\xff\xd8" + segment(0xE0, b"JFIF\0") + segment(0xDB, b"\x00" + bytes(quant)) + StreamWriter.table(0) + StreamWriter.table(1)
+    out += segment(0xC2 if progressive else 0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, x << 4 | y, 0]) for i, (x, y) in enumerate(samplings)))
+    if restart:
+        out += segment(0xDD, restart.to_bytes(2, "big"))
+
+    def blocks(own):
+        """Of a scan, units of (component, block)."""
+        if len(own) > 1 or n == 1:
+            for my in range(rows):
+                for mx in range(cols):
+                    yield [(i, coefs[i][my * samplings[i][1] + y][mx * samplings[i][0] + x]) for i in own for y in range(samplings[i][1]) for x in range(samplings[i][0])]
+        else:
+            (i,) = own
+            for y in range(-(-(-(-height * samplings[i][1] // v)) // 8)):
+                for x in range(-(-(-(-width * samplings[i][0] // h)) // 8)):
+                    yield [(i, coefs[i][y][x])]
+
+    def scan(own, ss, se, ah, al):
+        nonlocal out
+        out += segment(0xDA, bytes([len(own)]) + b"".join(bytes([i + 1, 0]) for i in own) + bytes([ss, se, ah << 4 | al]))
+        last, run, pending = {}, 0, []
+
+        def flush():
+            nonlocal run, pending
+            if run:
+                k = run.bit_length() - 1
+                w.symbol(k << 4)
+                w.put(run - (1 << k), k)
+                for b in pending:
+                    w.put(b, 1)
+                run, pending = 0, []
+
+        for at, unit in enumerate(blocks(own)):
+            if restart and at and at % restart == 0:
+                flush()
+                out += w.done() + bytes([0xFF, 0xD0 + (at // restart - 1) % 8])
+                last = {}
+            for i, block in unit:
+                b = [int(x) for x in block]
+                if ss == 0 and not ah:
+                    d = (b[0] >> al) - last.get(i, 0)
+                    last[i] = b[0] >> al
+                    w.symbol(abs(d).bit_length())
+                    if d:
+                        w.value(d, abs(d).bit_length())
+                if ss == 0 and ah:
+                    w.put(b[0] >> al & 1, 1)
+                lo = max(ss, 1)
+                if se < lo:
+                    continue
+                if not ah:
+                    vals = [toward_zero(x, al) for x in b]
+                    end = max([k for k in range(lo, se + 1) if vals[k]], default=lo - 1)
+                    if end >= lo:
+                        flush()
+                    zeros = 0
+                    for k in range(lo, end + 1):
+                        if not vals[k]:
+                            zeros += 1
+                            continue
+                        while zeros > 15:
+                            w.symbol(0xF0)
+                            zeros -= 16
+                        s = abs(vals[k]).bit_length()
+                        w.symbol(zeros << 4 | s)
+                        w.value(vals[k], s)
+                        zeros = 0
+                    if end < se:
+                        if progressive:
+                            run += 1
+                            if run == 0x7FFF:
+                                flush()
+                        else:
+                            w.symbol(0)
+                else:
+                    mag = [abs(x) >> al for x in b]
+                    end = max([k for k in range(lo, se + 1) if mag[k] == 1], default=lo - 1)
+                    zeros, fixes = 0, []
+                    if end >= lo:
+                        flush()
+                    for k in range(lo, se + 1):
+                        if mag[k] > 1:
+                            fixes.append(mag[k] & 1)
+                            continue
+                        if k > end:
+                            continue
+                        if mag[k] == 0:
+                            zeros += 1
+                            if zeros == 16:
+                                w.symbol(0xF0)
+                                for f in fixes:
+                                    w.put(f, 1)
+                                zeros, fixes = 0, []
+                            continue
+                        w.symbol(zeros << 4 | 1)
+                        w.put(int(b[k] > 0), 1)
+                        for f in fixes:
+                            w.put(f, 1)
+                        zeros, fixes = 0, []
+                    if end < se:
+                        run += 1
+                        pending += fixes
+        flush()
+        out += w.done()
+
+    every = list(range(n))
+    if not progressive:
+        scan(every, 0, 63, 0, 0)
+    else:
+        scan(every, 0, 0, 0, 1)
+        for i in every:
+            scan([i], 1, 5, 0, 2)
+            scan([i], 6, 63, 0, 2)
+        scan(every, 0, 0, 1, 0)
+        for i in every:
+            scan([i], 1, 63, 2, 1)
+            scan([i], 1, 63, 1, 0)
+    return out + b"\xff\xd9"
+
+
+def slow_rgb(size, samplings, coefs, quant):
+    height, width = size
+    h, v = max(x for x, _ in samplings), max(y for _, y in samplings)
+    basis = [[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)]
+    planes = []
+    for (sx, sy), c in zip(samplings, coefs):
+        p = np.zeros((height, width))
+        for y in range(height):
+            for x in range(width):
+                py, px = y * sy // v, x * sx // h
+                block, total = c[py // 8][px // 8], 128.0
+                for k in np.flatnonzero(block):
+                    z = jpeg.ZIGZAG[k]
+                    total += block[k] * quant[k] * basis[z // 8][py % 8] * basis[z % 8][px % 8]
+                p[y, x] = min(max(total, 0), 255)
+        planes.append(p)
+    y, cb, cr = planes if len(planes) == 3 else (planes[0], 128, 128)
+    out = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1)
+    return np.clip(out, 0, 255)
+
+
+@pytest.mark.parametrize("progressive", [True, False])
+@pytest.mark.parametrize("samplings,restart", [([(1, 1)], 0), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2), ([(3, 1), (2, 1), (1, 1)], 0), ([(1, 2), (1, 1), (1, 2)], 3)])
+def test_jpeg_of_another_writer(progressive, samplings, restart):
+    rng = np.random.default_rng(5)
+    size, quant = (21, 35), [*range(3, 67)]
+    h, v = max(x for x, _ in samplings), max(y for _, y in samplings)
+    cols, rows = -(-size[1] // (8 * h)), -(-size[0] // (8 * v))
+    coefs = []
+    for x, y in samplings:
+        c = np.where(rng.random((rows * y, cols * x, 64)) < 0.15, rng.integers(-9, 10, (rows * y, cols * x, 64)), 0)
+        c[:, :, 0] = rng.integers(-30, 30, c.shape[:2])
+        c[rng.random(c.shape[:2]) < 0.3, 1:] = 0
+        # Scans of one component have no blocks beyond the picture.
+        own = -(-(-(-size[0] * y // v)) // 8), -(-(-(-size[1] * x // h)) // 8)
+        c[own[0] :, :, 1:] = 0
+        c[:, own[1] :, 1:] = 0
+        coefs.append(c)
+    image = next(jpeg.frames(write_jpeg(size, samplings, coefs, quant, progressive, restart)))
+    for c, want in zip(image.components, coefs):
+        assert np.array_equal(c.coef.reshape(want.shape), want)
+    assert abs(image.rgb() - slow_rgb(size, samplings, coefs, quant)).max() <= 1
+
+
+def test_damaged_jpeg_streams(spark):
+    rng = random.Random(1)
+    base = [jpeg.encode_payload(bytes(rng.randrange(256) for _ in range(64 * n))) for n in (1, 7, 40)]
+    out = 0
+    for _ in range(4000):
+        m = bytearray(rng.choice(base))
+        for _ in range(rng.randint(1, 4)):
+            m[rng.randrange(min(len(m), rng.choice([60, 300, 10**9])))] = rng.randrange(256)
+        if rng.random() < 0.2:
+            m = m[: rng.randrange(len(m))]
+        try:
+            for image in jpeg.frames(bytes(m)):
+                image.rgb()
+        except ValueError:
+            out += 1
+    assert out > 1000
+    rows = [(1, None, 5), (2, bytearray(b""), 5), (3, bytearray(b"no"), 5), (4, bytearray(base[0]), 5), (None, bytearray(base[0][:-9]), 5)]
+    got = {r.doc_id: r for r in jpeg.features(spark.createDataFrame(rows, "doc_id long, media binary, k0 int"), keep=("doc_id",)).collect()}
+    assert got[1].media_bytes is None and got[3].media_bytes == 2 and got[3].feature is None and got[None].payload_bytes is None and got[4].payload_bytes == 64

@@ -250,6 +250,8 @@ class Image:
         self.components: list[Component] = []
         self.comments: list[bytes] = []
         self.width = self.height = self.restart = 0
+        self.colour: int | None = None  # as an Adobe segment says: 0 as they are, 1 luma and chroma, 2 that with black
+        self.room = 8 * (len(data) - at)
         self.orders: dict[tuple[int, bool], np.ndarray] = {}
         huffman: dict[tuple[int, int], Huffman] = {}
         if data[at : at + 2] != b"\xff\xd8":
@@ -267,6 +269,8 @@ class Image:
             at += size
             if kind == 0xFE:
                 self.comments.append(body)
+            elif kind == 0xEE and body[:5] == b"Adobe" and len(body) > 11:
+                self.colour = body[11]
             elif kind == 0xDB:
                 self._quantisation(body)
             elif kind == 0xC4:
@@ -299,10 +303,19 @@ class Image:
             body = body[1 + n :]
 
     def _frame(self, body: bytes) -> None:
-        _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+        """A block has a bit at least of the first scan of its component, so that a stream has no more blocks than bits; ValueError else."""
+        depth, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+        if depth != 8 or not self.height or not self.width or n not in (1, 3, 4):
+            raise ValueError(f"frames of {n} components, {depth} bits, {self.width} by {self.height} are not read")
         self.components = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        if len({c.id for c in self.components}) < n or not all(0 < x < 5 for c in self.components for x in (c.h, c.v)):
+            raise ValueError("bad components")
+        if n == 1:  # one alone is not interleaved, whatever it says
+            self.components[0].h = self.components[0].v = 1
         self.h, self.v = max(c.h for c in self.components), max(c.v for c in self.components)
         self.mcu_cols, self.mcu_rows = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
+        if self.mcu_cols * self.mcu_rows * len(self.components) > self.room:
+            raise ValueError("the frame is larger than its stream can fill")
         for c in self.components:
             c.rows, c.cols = self.mcu_rows * c.v, self.mcu_cols * c.h
             c.own_rows, c.own_cols = -(-(-(-self.height * c.v // self.v)) // 8), -(-(-(-self.width * c.h // self.h)) // 8)
@@ -364,23 +377,33 @@ class Image:
         x = (x.reshape(-1, 8) @ DCT).reshape(-1, 8, 8).transpose(0, 2, 1)  # rows, then columns
         x = (np.ascontiguousarray(x).reshape(-1, 8) @ DCT).reshape(c.rows, c.cols, 8, 8)
         p = x.transpose(0, 3, 1, 2).reshape(c.rows * 8, c.cols * 8) + 128
+        if self.v % c.v or self.h % c.h:
+            return p[np.arange(self.height) * c.v // self.v][:, np.arange(self.width) * c.h // self.h]
         if (self.v // c.v, self.h // c.h) != (1, 1):
             p = p.repeat(self.v // c.v, 0).repeat(self.h // c.h, 1)
         return p[: self.height, : self.width]
 
     def rgb(self) -> np.ndarray:
         """Height by width by 3, unsigned bytes."""
+        if not self.components or any(len(self.tables.get(c.table, ())) != 64 for c in self.components):
+            raise ValueError("no frame, or a table is missing")
         planes = [self.plane(c) for c in self.components]
         if len(planes) == 1:
             y = np.clip(np.rint(planes[0]), 0, 255).astype(np.uint8)
             return np.repeat(y[:, :, None], 3, 2)
-        y, cb, cr = (np.clip(p, 0, 255) for p in planes[:3])
-        cb -= 128
-        cr -= 128
+        planes = [np.clip(p, 0, 255) for p in planes]
         out = np.empty((self.height, self.width, 3), np.float32)
-        out[:, :, 0] = y + 1.402 * cr
-        out[:, :, 1] = y - 0.344136 * cb - 0.714136 * cr
-        out[:, :, 2] = y + 1.772 * cb
+        plain = bytes(c.id for c in self.components) == b"RGB" if self.colour is None else self.colour == 0
+        if plain or len(planes) == 4 and self.colour != 2:
+            for i in range(3):
+                out[:, :, i] = planes[i]
+        else:
+            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+            out[:, :, 0] = y + 1.402 * cr
+            out[:, :, 1] = y - 0.344136 * cb - 0.714136 * cr
+            out[:, :, 2] = y + 1.772 * cb
+        if len(planes) == 4:  # inks are stored as what they leave of the light; the fourth dims the others
+            out = np.clip(out, 0, 255) * (planes[3][:, :, None] / 255)
         return np.clip(np.rint(out, out), 0, 255).astype(np.uint8)
 
 
@@ -463,9 +486,13 @@ def encode_payload(payload: bytes) -> bytes:
 
 
 def frames(media: bytes):
+    """The images of a sequence of streams; ValueError for all that cannot be decoded."""
     at = 0
     while at < len(media):
-        image = Image(media, at)
+        try:
+            image = Image(media, at)
+        except (LookupError, ArithmeticError, TypeError, AttributeError, StopIteration, MemoryError, struct.error) as e:
+            raise ValueError(f"corrupt stream: {e!r}") from None
         at = image.end
         yield image
 
@@ -497,13 +524,26 @@ def store(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_i
 
 
 def features(stored: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """What the stored streams hold: payload sizes and hashes, and a feature string of the RGB tensors: mean and deviation of each channel."""
+    """What the stored streams hold: payload sizes and hashes, and a feature string of the RGB tensors: mean and deviation of each channel.
+
+    One row per row. A null stream, and one that is not of store()'s kind or is damaged, has nulls
+    (but its own size and hash if it is not null); equal streams have equal values; an empty table
+    gives no rows; other columns are ignored.
+    """
     few = stored.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(media_col).alias("m"))
     schema = few.drop("m").schema
     for c, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
         schema = schema.add(c, kind)
 
-    def one(media: bytes):
+    def one(media: bytes | None):
+        if media is None:
+            return (None,) * 6
+        try:
+            return read(media)
+        except (ValueError, struct.error, IndexError, ZeroDivisionError):  # damaged, or without a comment that has the payload's size
+            return None, None, None, len(media), hashlib.sha256(media).hexdigest(), None
+
+    def read(media: bytes):
         sha, size, tail, n = hashlib.sha256(), 0, b"", 0
         total, square = np.zeros(3), np.zeros(3)
         for image in frames(media):
@@ -534,7 +574,9 @@ def features(stored: DataFrame, media_col: str = "media", keep: tuple[str, ...]
 def tensors(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """The kept columns, frame, height, width and rgb (binary, row by row, three bytes a pixel), a row for each frame.
 
-    A null stream has no rows; one that is not a baseline or progressive JPEG has one with nulls.
+    A null or empty stream has no rows; one that is not a baseline or progressive JPEG, or is damaged
+    so that it cannot be decoded, has one with nulls. Frames have one (grey), three or four components
+    of 8 bits, with any sampling; chroma is upsampled by its nearest sample. Equal streams have equal rows.
     """
     few = df.where(F.col(media_col).isNotNull()).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(media_col).alias("m"))
     schema = few.drop("m").schema.add("frame", "integer").add("height", "integer").add("width", "integer").add("rgb", T.BinaryType())
@@ -546,7 +588,7 @@ def tensors(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ())
                 try:
                     for i, image in enumerate(frames(media)):
                         rows.append((i, image.height, image.width, image.rgb().tobytes()))
-                except (ValueError, KeyError, IndexError, StopIteration, struct.error):
+                except ValueError:
                     rows = [(None, None, None, None)]
                 kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 own = [b.column(j).take(pa.array([r] * len(rows), pa.int64())) for j in range(b.num_columns - 1)]
