@@ -10,60 +10,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
-_own_dir: list[str] = []
+_own_dir: list[str] = []  # temporary folders of the driver
+_fallback = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset and all runs in one process (as in tests), a temporary one, else ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="veilframe-"))
-    return f"file://{_own_dir[0]}"
+    global _fallback
+    if not _fallback:
+        _fallback = tempfile.mkdtemp(prefix="veilframe-")
+        _own_dir.append(_fallback)
+    return f"file://{_fallback}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and reread: short lineage, and no rows are lost with an executor."""
+    """df, written to the shared folder and reread: short lineage, and no rows are lost with an executor.
+
+    The table is deleted by release(), or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilframe/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._veil_path = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(paths: set[str]) -> None:
+    for item in [x for x in _written if x[1] in paths]:
+        spark, path = item
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(item)
 
 
 def release(*frames: DataFrame) -> None:
     """Delete tables of written() that no later step reads."""
-    for df in frames:
-        path = getattr(df, "_veil_path", None)
-        for item in [x for x in _written if x[1] == path]:
-            _delete(*item)
-            _written.remove(item)
+    _delete({df._veil_path for df in frames if hasattr(df, "_veil_path")})
 
 
-def mark() -> int:
-    """The number of written tables so far."""
-    return len(_written)
-
-
-def release_all(upto: int | None = None) -> None:
-    """Delete the first `upto` tables of written(); their results have been written elsewhere by now."""
-    for item in _written[:upto]:
-        try:
-            _delete(*item)
-        except Exception as e:  # the session may have ended, or the folder is gone
-            if not item[0].sparkContext._jsc.sc().isStopped():
-                raise e
-    del _written[:upto]
+def settled(make, tag: str) -> DataFrame:
+    """The DataFrame that make() gives, written; the tables that were written for it are deleted."""
+    before = len(_written)
+    out = written(make(), tag)
+    _delete({path for _, path in _written[before:-1]})
+    return out
 
 
 def _at_exit() -> None:
@@ -86,8 +85,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def fits(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df, read from a written table, has at most so many rows; counted in parallel."""
+    return df.count() <= rows
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -133,7 +132,8 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="veilframe-"), "veilframe.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="veilframe-"), "veilframe.zip")  # the driver's own, sent from there
+    _own_dir.append(os.path.dirname(path))
     with zipfile.ZipFile(path, "w") as z:
         for d, _, names in os.walk(top):
             for x in names:
