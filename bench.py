@@ -27,8 +27,6 @@ def main() -> None:
             began = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best, time.time() - began)
-            if best > 20:  # compiling is a small part of it
-                break
         took[name] = round(best, 3)
     chars = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(length(text))").first()[0]
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "detect_chars_per_sec": round(chars / took["detect_and_redact"]), "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))

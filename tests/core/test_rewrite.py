@@ -46,5 +46,5 @@ def test_fields(spark):
     def change(t):
         return R.sweep_fields(t, {"<P>": [F.col("a"), F.col("b")], "<M>": [F.col("c")]})
 
-    assert one(spark, change, "Ella $5 met ella. (x)", a=" Ella ", b=None, c="") == "<P> $5 met <P>. (x)"
+    assert one(spark, change, "Odette $5 met odette. (x)", a=" Odette ", b=None, c="") == "<P> $5 met <P>. (x)"
     assert one(spark, change, "nothing", a=None, b=" ", c=None) == "nothing"

@@ -23,11 +23,11 @@ MONTHS = (
     "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
 )
 
-# Ordinal words up to thirty-first, "first" alone left out; transcripts lose hyphens, so both forms count.
-_UNITS = ("first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth")
+# Ordinal words up to thirty-first, "first" alone left out; transcripts lose hyphens, so both forms count.
 ORDINAL_WORDS = (
-    *_UNITS[1:], "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth", "thirtieth",
-    *(f"twenty{s}{u}" for s in "- " for u in _UNITS), *(f"thirty{s}first" for s in "- "),
+    "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth",
+    "eighteenth", "nineteenth", "twentieth", "thirtieth", "twenty-first", "twenty-second", "twenty-third", "twenty-fourth", "twenty-fifth", "twenty-sixth", "twenty-seventh", "twenty-eighth",
+    "twenty-ninth", "twenty first", "twenty second", "twenty third", "twenty fourth", "twenty fifth", "twenty sixth", "twenty seventh", "twenty eighth", "twenty ninth", "thirty-first", "thirty first",
 )
 
 # Australian street kinds and states.
@@ -48,6 +48,7 @@ COMPATIBLE = {
     "US_SSN": ("member_number",),
 }
 
+# Ground-truth fields, those that are names, and the entities looked for.
 GROUND_TRUTH_FIELDS = ("member_first_name", "member_full_name", "member_email", "member_mobile", "member_address", "member_number", "consultant_first_name")
 NAME_FIELDS = ("member_first_name", "member_full_name", "consultant_first_name")
 ENTITIES = ("PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "LOCATION", "CREDIT_CARD", "MEMBER_NUMBER", "AU_PHONE_NUMBER", "AU_ADDRESS", "GENERIC_NUMBER")

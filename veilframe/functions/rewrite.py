@@ -59,6 +59,7 @@ def normalize_email_addresses(text: Column, email_username_words: int = 2) -> Co
     """
     n, (a, b, c, d) = email_username_words, MARKS
     more = max(n + 1, 4) - 1
+    # The pattern of a spoken address.
     pattern = rf"{FLAGS}(?<!\w)(\w+(?:\s+\w+){{0,{more}}})\s+at\s+([a-zA-Z0-9.-]+(?:\s+[a-zA-Z0-9.-]+){{0,2}})\s+dot\s+([a-zA-Z]{{2,}})\b(?!\s+\w+\s+at)"
     parts = F.split(F.regexp_replace(unmarked(text), pattern, f"{a}$1{b}$2{c}$3{d}"), f"[{a}{d}]", -1)
     known = F.create_map(*[F.lit(x) for kv in EMAIL_PROVIDERS.items() for x in kv])
@@ -105,6 +106,7 @@ def sweep_months(text: Column, replacement: str = "<MONTH>") -> Column:
 
 def sweep_ordinals(text: Column, replacement: str = "<GENERIC_NUMBER>") -> Column:
     """1st to 31st with any ending, and ordinal words."""
+    # The pattern of ordinal numbers.
     out = F.regexp_replace(text, rf"{FLAGS}\b(?:[1-9]|[12][0-9]|3[01])(?:st|nd|rd|th)\b", literal(replacement))
     return F.regexp_replace(out, rf"{FLAGS}\b(?:{'|'.join(ORDINAL_WORDS)})\b", literal(replacement))
 

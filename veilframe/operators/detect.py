@@ -56,6 +56,7 @@ AU_ADDRESS = Recognizer(
     ),
     needs=r"(?U)\d\s+[A-Za-z]",
 )
+# The member number patterns with their scores.
 MEMBER_NUMBER = Recognizer("MEMBER_NUMBER", (("member_number_8_digits", r"(?U)\b\d{8}\b", 0.9), ("member_number_with_spaces", r"(?U)\b\d{4}\s?\d{4}\b", 0.85)), needs=r"(?U)\d{4}")
 
 # Our own rules for the types that a library or a model would find.

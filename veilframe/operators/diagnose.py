@@ -36,11 +36,18 @@ def context(text, start, end, wide: int = 50):
 
 
 def missed_categories(evaluated: DataFrame) -> DataFrame:
-    """By category: missed, detected, total, miss rate, priority. Over-detections alone make no category."""
-    m = match_rows(evaluated).where("match_type != 'over_detection'")
-    out = m.groupBy(F.col("ground_truth_type").alias("category")).agg(F.count_if(F.col("match_type") == "missed").alias("missed_count"), F.count_if(F.col("match_type") != "missed").alias("detected_count"))
-    out = out.withColumn("total_occurrences", F.col("missed_count") + F.col("detected_count")).withColumn("miss_rate", F.col("missed_count") / F.col("total_occurrences"))
-    return out.withColumn("priority", F.when(F.col("miss_rate") > 0.3, "HIGH").when(F.col("miss_rate") > 0.1, "MEDIUM").otherwise("LOW"))
+    """By category, the highest miss rate first: missed, detected, total, miss rate, priority.
+
+    A category that only over-detections have (its name is then the detected type) has no total, and
+    null for rate and priority; it comes last.
+    """
+    m = match_rows(evaluated)
+    kind = F.when(F.col("ground_truth_type") != "", F.col("ground_truth_type")).otherwise(F.col("detected_type"))
+    out = m.groupBy(kind.alias("category")).agg(F.count_if(F.col("match_type") == "missed").alias("missed_count"), F.count_if(F.col("match_type").isin("exact", "partial")).alias("detected_count"))
+    total = F.col("missed_count") + F.col("detected_count")
+    out = out.withColumn("total_occurrences", total).withColumn("miss_rate", F.when(total > 0, F.col("missed_count") / total))
+    out = out.withColumn("priority", F.when(F.col("miss_rate") > 0.3, "HIGH").when(F.col("miss_rate") > 0.1, "MEDIUM").when(F.col("miss_rate").isNotNull(), "LOW"))
+    return out.orderBy(F.col("miss_rate").desc_nulls_last(), "category")
 
 
 def category_examples(evaluated: DataFrame, missed: bool = True, text_col: str = "original_transcript", id_col: str = "call_id") -> DataFrame:

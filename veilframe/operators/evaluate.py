@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions.constants import COMPATIBLE, GROUND_TRUTH_FIELDS, NAME_FIELDS
-from ..functions.rewrite import FLAGS, escaped
 
 TRUTH = "array<struct<type:string,value:string,start:int,end:int>>"
 MATCH = "array<struct<ground_truth_value:string,ground_truth_type:string,detected_value:string,detected_type:string,match_type:string,overlap_ratio:double,start_pos:int,end_pos:int>>"
@@ -21,8 +20,7 @@ PHONES = (r"(?U)\b0[2-9]\s?\d{4}\s?\d{4}\b", r"(?U)\b04\d{2}\s?\d{3}\s?\d{3}\b",
 def value_positions(text: Column, value: Column, kind: str) -> Column:
     """Where a field's value occurs: names as whole words outside addresses, phones by digits, others literally."""
     if kind in NAME_FIELDS:
-        pattern = F.concat(F.lit(rf"{FLAGS}(?<![a-zA-Z0-9._-])\b"), escaped(value), F.lit(r"\b(?![a-zA-Z0-9._-]*@)"))
-        found = F.when(F.length(value) > 1, S.positions(text, pattern))
+        found = F.when(F.length(value) > 1, S.word_positions(text, value))
     elif kind == "member_mobile":
         digits = F.regexp_replace(value, r"(?U)[^\d]", "")
         every = F.concat(*[F.when(text.rlike(p), S.positions(text, p)).otherwise(F.array().cast("array<struct<start:int,end:int>>")) for p in PHONES])
@@ -82,10 +80,11 @@ def matches(truth: Column, found: Column, mode: str = "business") -> Column:
 
 
 def first_truth(truth: DataFrame, id_col: str, order_col: str | None = None) -> DataFrame:
-    """One ground-truth row for each id: the first by order_col, or by all columns."""
-    order = [order_col] if order_col else [c for c, t in truth.dtypes if c != id_col and not t.startswith(("map", "variant"))]
-    w = Window.partitionBy(id_col).orderBy(*order) if order else Window.partitionBy(id_col).orderBy(F.lit(1))
-    return truth.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+    """One ground-truth row for each id: the first by order_col (ties, or without one, by all columns); partial minima leave a task."""
+    rest = [c for c, t in truth.dtypes if c not in (id_col, order_col) and not t.startswith(("map", "variant"))]
+    order = F.struct(*[F.struct(F.col(c).isNotNull().alias("n"), F.col(c).alias("v")).alias(f"o{i}") for i, c in enumerate([*([order_col] if order_col else []), *rest])])
+    row = F.struct(*[F.col(c) for c in truth.columns if c != id_col])
+    return truth.groupBy(id_col).agg(F.min_by(row, order).alias("_r")).select(id_col, "_r.*")
 
 
 def with_truth(results: DataFrame, truth: DataFrame, id_col: str = "call_id", text_col: str = "normalized_transcript", fields: Sequence[str] = GROUND_TRUTH_FIELDS, missing: str = "error", order_col: str | None = None) -> DataFrame:
@@ -152,6 +151,11 @@ def details(evaluated: DataFrame, kind: str, *keys: str) -> DataFrame:
     return match_rows(evaluated, *keys).where(F.col("match_type") == kind).withColumn("position", F.concat_ws("-", "start_pos", "end_pos"))
 
 
+def by_recall(metrics: DataFrame) -> DataFrame:
+    """entity_metrics() with the best recall first, ties by the type's name."""
+    return metrics.orderBy(F.col("recall").desc(), "entity_type")
+
+
 def occurrence_breakdown(truth_rows: DataFrame, id_col: str = "call_id") -> DataFrame:
     """By id: occurrences, different types; and by id and type their number."""
     return truth_rows.groupBy(id_col, "type").agg(F.count("*").alias("occurrences"))

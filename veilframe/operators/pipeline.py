@@ -43,6 +43,28 @@ def process_text(spark, text: str, **options) -> dict:
     return process(spark.createDataFrame([(text,)], "call_transcript string"), **options).first().asDict(recursive=True)
 
 
+def stage_seconds(df: DataFrame, text_col: str = "call_transcript", sweep: bool = True, **options) -> dict[str, float]:
+    """Seconds of each stage over df, and their total.
+
+    The stages are one pass, so each is timed as a run of all up to it, less the run before.
+    """
+    import time
+
+    def timed(out: DataFrame) -> float:
+        began = time.time()
+        out.write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    rows = df.select(text_col, *[c for c in df.columns if c != text_col])
+    read = timed(rows)
+    done = process(rows, text_col, sweep=sweep, **options)
+    upto = [timed(done.select("normalized_transcript")), timed(done.select("normalized_transcript", "detected_transcript", "pii_detections"))]
+    upto += [timed(done)] if sweep else []
+    names = ("normalization_time", "detection_time", "sweeping_time")
+    out = {name: round(max(b - a, 0.0), 4) for name, a, b in zip(names, [read, *upto], upto)}
+    return out | {"processing_time": round(upto[-1], 4)}
+
+
 def estimate(seconds) -> F.Column:
     """How long a million texts take at so many seconds each, in words."""
     s = seconds * 1_000_000

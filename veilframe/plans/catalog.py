@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rewrite as R
@@ -11,7 +12,7 @@ from ..operators import batch, detect, diagnose, evaluate, pipeline
 from ..sources import io
 from . import transcripts as T
 
-_CUSTOM = {"<ORG>": ["Harbour Health"], "<ROLE>": ["agent", "customer"]}
+_CUSTOM = {"<ORG>": ["Kestrel Couriers"], "<ROLE>": ["agent", "customer"]}
 _FIELDS = {"<PERSON>": ["member_full_name", "member_first_name"], "<MOBILE>": ["member_mobile"], "<ADDRESS>": ["member_address"]}
 
 
@@ -56,8 +57,14 @@ def detect_person_rule(spark, sf_dir):
     return _found(detect.PERSON, "transcripts")(spark, sf_dir)
 
 
+def redact_numbers(spark, sf_dir):
+    number = detect.Recognizer("GENERIC_NUMBER", (detect.GENERIC_NUMBER.patterns[1],), needs=r"(?U)\d")
+    out = detect.detect_and_redact(_documents(spark, sf_dir), "text", [detect.EMAIL, number])
+    return out.select("doc_id", "pii_count", "anonymized_text")
+
+
 def pii_types(spark, sf_dir):
-    return pipeline.type_histogram(detect.detect_and_redact(_documents(spark, sf_dir), "text"))
+    return pipeline.type_histogram(_evaluated(spark, sf_dir))
 
 
 # -- pipeline -------------------------------------------------------------------------------------
@@ -139,6 +146,11 @@ def entity_metrics(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+def entity_ranking(spark, sf_dir):
+    out = evaluate.by_recall(evaluate.entity_metrics(_evaluated(spark, sf_dir)).withColumn("recall", F.round("recall", 6)))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("recall").desc(), "entity_type")).cast("long")).select("place", "entity_type", "recall")
+
+
 def _details(kind):
     def run(spark, sf_dir):
         return evaluate.details(_evaluated(spark, sf_dir), kind, "call_id").select("call_id", "ground_truth_type", "ground_truth_value", "detected_type", "detected_value", "position")
@@ -175,6 +187,11 @@ def confidence_buckets(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+def confidence_by_text(spark, sf_dir):
+    rows = diagnose.confidence_rows(_evaluated(spark, sf_dir), by_text=True)
+    return rows.groupBy("is_correct").agg(F.count("*").alias("n"), F.count_if(F.col("bucket") == "high").alias("high"))
+
+
 def confidence_thresholds(spark, sf_dir):
     return diagnose.confidence_thresholds(diagnose.confidence_rows(_evaluated(spark, sf_dir))).withColumn("percentage_above", F.round("percentage_above", 6))
 
@@ -183,7 +200,7 @@ def count_discrepancy(spark, sf_dir):
     t = T.transcripts(spark, sf_dir)
     each = F.array(*[F.struct(F.lit(c).alias("type"), F.col(c).alias("value"), F.lit(1).alias("expected")) for c in GROUND_TRUTH_FIELDS])
     expected = t.select("call_id", F.explode(each).alias("x")).select("call_id", "x.*")
-    return diagnose.count_discrepancy(evaluate.occurrences(t), expected).where("discrepancy <> 0").select("call_id", "type", "value", "found", "expected", "discrepancy")
+    return diagnose.count_discrepancy(evaluate.occurrences(t), expected).where("discrepancy <> 0").select("call_id", "type", "value", "found", "expected", "discrepancy", "shared_places")
 
 
 # -- batches --------------------------------------------------------------------------------------
@@ -215,7 +232,7 @@ def queries():
     return {
         "detect_and_redact": detect_and_redact, "detections": detections, "detect_email": _found(detect.EMAIL), "detect_generic_number": _found(detect.Recognizer("GENERIC_NUMBER", (detect.GENERIC_NUMBER.patterns[1],), needs=r"(?U)\d")),
         "detect_numbers": _found(detect.GENERIC_NUMBER), "detect_phone": _found(detect.PHONE), "detect_credit_card": _found(detect.CREDIT_CARD), "detect_au_phone": _found(detect.AU_PHONE, "transcripts"), "detect_au_address": _found(detect.AU_ADDRESS, "transcripts"),
-        "detect_member_number": _found(detect.MEMBER_NUMBER, "transcripts"), "detect_location": _found(detect.LOCATION, "transcripts"), "detect_person_rule": detect_person_rule, "redact": redact, "pii_types": pii_types,
+        "detect_member_number": _found(detect.MEMBER_NUMBER, "transcripts"), "detect_location": _found(detect.LOCATION, "transcripts"), "detect_person_rule": detect_person_rule, "redact": redact, "redact_numbers": redact_numbers, "pii_types": pii_types,
         "normalize_number_words": _rewrite("spoken", "numbers", R.normalize_number_words), "normalize_separated_chars": _rewrite("spoken", "letters", R.normalize_separated_chars), "normalize_email": _rewrite("spoken", "mail", R.normalize_email_addresses),
         "remove_fillers": _rewrite("spoken", "fillers", R.remove_filler_words), "remove_fillers_transcripts": _rewrite("transcripts", "call_transcript", R.remove_filler_words), "normalize_text": _rewrite("spoken", "mail", R.normalize_text),
         "sweep_months": _rewrite("transcripts", "call_transcript", R.sweep_months), "sweep_ordinals": _rewrite("transcripts", "call_transcript", R.sweep_ordinals), "sweep_custom": _rewrite("transcripts", "call_transcript", lambda t: R.sweep_custom(t, _CUSTOM)),
@@ -223,9 +240,9 @@ def queries():
         "sweep_text": _rewrite("transcripts", "call_transcript", lambda t: R.sweep_text(t, custom=_CUSTOM)), "sweep_months_documents": lambda s, d: _documents(s, d).select("doc_id", R.sweep_months(F.col("text")).alias("result")),
         "pipeline_full": pipeline_full, "process_dataset": process_dataset, "process_dataset_baseline": process_dataset_baseline, "run_metrics": run_metrics, "metric_rows": metric_rows,
         "gt_occurrences": gt_occurrences, "gt_name_positions": _positions(("member_first_name", "member_full_name", "consultant_first_name")), "gt_mobile_positions": _positions(("member_mobile",)), "gt_literal_positions": _positions(("member_email", "member_address", "member_number")),
-        "occurrence_breakdown": occurrence_breakdown, "match_business": _matches("business"), "match_research": _matches("research"), "transcript_metrics": transcript_metrics, "overall_metrics": overall_metrics, "entity_metrics": entity_metrics,
+        "occurrence_breakdown": occurrence_breakdown, "match_business": _matches("business"), "match_research": _matches("research"), "transcript_metrics": transcript_metrics, "overall_metrics": overall_metrics, "entity_metrics": entity_metrics, "entity_ranking": entity_ranking,
         "missed_pii": _details("missed"), "over_detections": _details("over_detection"), "partial_matches": _details("partial"), "evaluate": evaluate_pipeline,
-        "worst_cases": worst_cases, "protection_status": protection_status, "missed_categories": missed_categories, "category_examples": category_examples, "confidence_buckets": confidence_buckets, "confidence_thresholds": confidence_thresholds, "count_discrepancy": count_discrepancy,
+        "worst_cases": worst_cases, "protection_status": protection_status, "missed_categories": missed_categories, "category_examples": category_examples, "confidence_buckets": confidence_buckets, "confidence_by_text": confidence_by_text, "confidence_thresholds": confidence_thresholds, "count_discrepancy": count_discrepancy,
         "sequence_id": sequence_id, "batch_assignment": batch_assignment, "chunk_assignment": chunk_assignment, "dynamic_field_mapping": dynamic_field_mapping,
     }
 
@@ -236,6 +253,24 @@ def _found_sql(pattern: str, score: float, rows: str = "select doc_id, text from
     return f"select doc_id, cast(ix as int) as ix, text, cast({score} as double) as score from ({own}) x"
 
 
+def _spans_sql(patterns, rows: str = "select doc_id, text from documents") -> str:
+    """All spans of one type's patterns (pattern, score), once each, without those inside another of a score as high or higher."""
+    each = [
+        f"""select doc_id, m as text, cast({score} as double) as score, cast(sum(length(pre)) over w + sum(length(m)) over w - length(m) as int) as s, cast(sum(length(pre)) over w + sum(length(m)) over w as int) as e
+        from (select doc_id, unnest(ms) as m, unnest(ps[1:len(ms)]) as pre, generate_subscripts(ms, 1) as i from (select doc_id, regexp_extract_all(text, '{p}') as ms, regexp_split_to_array(text, '{p}') as ps from ({rows}) r) x) y
+        window w as (partition by doc_id order by i)"""
+        for p, score in patterns
+    ]
+    return f"""with a as (select distinct * from ({' union all '.join(each)}) u)
+select doc_id, cast(row_number() over (partition by doc_id order by s, e) - 1 as int) as ix, text, score from a
+where not exists (select 1 from a o where o.doc_id = a.doc_id and o.s <= a.s and o.e >= a.e and o.score >= a.score and (o.s <> a.s or o.e <> a.e or o.score <> a.score))"""
+
+
+def _ascii(patterns):
+    """Patterns of a recognizer as DuckDB reads them."""
+    return [(p.replace("(?U)", "").replace("(?iU)", "(?i)").replace(r"(?<!\w)", ""), score) for _, p, score in patterns]
+
+
 _CALLS = f"select call_id as doc_id, call_transcript as text from ({T.TRANSCRIPTS}) t"
 _GT, _DET = f"({T.OCCURRENCES})", f"({T.DETECTIONS})"
 
@@ -301,12 +336,11 @@ def oracle_sql():
 
     months = f"(?i)\\b(?:{'|'.join(MONTHS)})\\b"
     ordinals = f"regexp_replace(regexp_replace(%s, '(?i)\\b(?:[1-9]|[12][0-9]|3[01])(?:st|nd|rd|th)\\b', '<GENERIC_NUMBER>', 'g'), '(?i)\\b(?:{'|'.join(ORDINAL_WORDS)})\\b', '<GENERIC_NUMBER>', 'g')"
-    custom = "regexp_replace(regexp_replace(%s, '(?i)\\b(?:Harbour Health)\\b', '<ORG>', 'g'), '(?i)\\b(?:agent|customer)\\b', '<ROLE>', 'g')"
+    custom = "regexp_replace(regexp_replace(%s, '(?i)\\b(?:Kestrel Couriers)\\b', '<ORG>', 'g'), '(?i)\\b(?:agent|customer)\\b', '<ROLE>', 'g')"
     fillers = "trim(regexp_replace(regexp_replace(call_transcript, '(?i)\\b(?:uh|huh|mm+|hmm+|um+)\\b', ' ', 'g'), '\\s{2,}', ' ', 'g'))"
-    fields = "replace(replace(replace(replace(call_transcript, member_full_name, '<PERSON>'), 'verifying, ' || member_first_name, 'verifying, <PERSON>'), member_mobile, '<MOBILE>'), member_address, '<ADDRESS>')"
+    fields = "replace(replace(replace(call_transcript, member_full_name, '<PERSON>'), case when left(member_mobile, 1) = '+' then call_id || ' is not said' else member_mobile end, '<MOBILE>'), member_address, '<ADDRESS>')"
     fields = f"regexp_replace({fields}, '(?i)\\b' || member_first_name || '\\b', '<PERSON>', 'g')"
     m, x = f"({_matches_sql('business', 15)})", f"({_metrics_sql()})"
-    street = r"\b\d{1,3}\s+(?:[A-Za-z]+\s+){1,5}Street\b,?\s*(?:[A-Za-z]+\s+){1,3}(?:NSW|VIC|QLD|WA|SA|TAS|ACT|NT)\s+\d{4}\b"
     right = f"select d.call_id, d.score, exists (select 1 from ({_pairs('business')}) p where p.call_id = d.call_id and p.ds = d.start_pos and p.de = d.end_pos and p.entity_type = d.entity_type) as ok from {_DET} d"
     sums = "sum(true_positives)", "sum(over_detections)", "sum(missed)"
     p, r = _share_sql(sums[0], f"({sums[0]} + {sums[1]})"), f"least(1.0, {_share_sql(sums[0], f'({sums[0]} + {sums[2]})')})"
@@ -320,12 +354,20 @@ def oracle_sql():
     return {
         "detect_email": _found_sql(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),
         "detect_generic_number": _found_sql(r"\b\d{1,16}\b", 0.9),
-        "detect_au_address": _found_sql(street, 0.95, _CALLS),
-        "detect_au_phone": _found_sql(r"\b04\d{4}\s?\d{3}\s?\d{3}\b", 0.7, _CALLS),
-        "detect_member_number": f"select call_id as doc_id, 0 as ix, member_number as text, cast(0.9 as double) as score from ({T.TRANSCRIPTS}) t",
+        "detect_numbers": _spans_sql(_ascii(detect.GENERIC_NUMBER.patterns)),
+        "detect_au_address": _spans_sql(_ascii(detect.AU_ADDRESS.patterns), _CALLS),
+        "detect_au_phone": _spans_sql(_ascii(detect.AU_PHONE.patterns), _CALLS),
+        "detect_member_number": _spans_sql(_ascii(detect.MEMBER_NUMBER.patterns), _CALLS),
         "detect_location": _found_sql(r"\b(?:Sydney|Perth|Adelaide)\b", 0.6, _CALLS),
         "detect_person_rule": f"select call_id as doc_id, 0 as ix, consultant_first_name as text, cast(0.6 as double) as score from ({T.TRANSCRIPTS}) t",
         "redact": r"select doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '<EMAIL_ADDRESS>', 'g') as anonymized_text from documents",
+        "redact_numbers": r"""select doc_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) + len(regexp_extract_all(text, '\b\d{1,16}\b')) as int) as pii_count,
+            regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '<EMAIL_ADDRESS>', 'g'), '\b\d{1,16}\b', '<GENERIC_NUMBER>', 'g') as anonymized_text from documents""",
+        "pii_types": f"select entity_type, count(*) as n from {_DET} d group by entity_type",
+        "sweep_months_documents": f"select doc_id, regexp_replace(text, '{months}', '<MONTH>', 'g') as result from documents",
+        "metric_rows": f"select 'run-1' as run_id, x.metric, x.value from (select unnest([{', '.join(f'struct_pack(metric := {chr(39)}{c}{chr(39)}, value := cast({c} as double))' for c in ('total_transcripts', 'total_pii_detected', 'avg_pii_per_transcript', 'avg_seconds', 'total_seconds'))}]) as x from (select *, 2.5 as total_seconds from ({run}) r) q) z",
+        "entity_ranking": f"select row_number() over (order by recall desc, entity_type) as place, entity_type, recall from (select entity_type, round({_share_sql('tp', '(tp + fn)')}, 6) as recall from ({kinds}) k) z",
+        "confidence_by_text": f"select is_correct, count(*) as n, count(*) filter (score >= 0.8) as high from (select d.score, exists (select 1 from {m} m where m.call_id = d.call_id and m.detected_value = d.text and m.match_type in ('exact', 'partial')) as is_correct from {_DET} d) q group by is_correct",
         "normalize_number_words": written("numbers"), "normalize_separated_chars": written("letters"), "normalize_email": written("mail"), "normalize_text": written("mail"), "remove_fillers": written("fillers"),
         "remove_fillers_transcripts": calls(fillers), "sweep_months": calls(f"regexp_replace(call_transcript, '{months}', '<MONTH>', 'g')"), "sweep_ordinals": calls(ordinals % "call_transcript"), "sweep_custom": calls(custom % "call_transcript"), "sweep_fields": calls(fields),
         "sweep_text": calls(custom % (ordinals % f"regexp_replace(call_transcript, '{months}', '<MONTH>', 'g')")),
@@ -338,11 +380,11 @@ def oracle_sql():
         **{name: f"select call_id, ground_truth_type, ground_truth_value, detected_type, detected_value, start_pos || '-' || end_pos as position from {m} m where match_type = '{kind}'" for name, kind in (("missed_pii", "missed"), ("over_detections", "over_detection"), ("partial_matches", "partial"))},
         "worst_cases": f"select call_id, round(recall, 6) as recall, missed from {x} x order by round(recall, 6), call_id limit 10",
         "protection_status": f"select case when recall >= 0.9 and \"precision\" >= 0.8 then 'Excellent Protection' when recall >= 0.8 then 'Good Protection' else 'Needs Improvement' end as protection_status, count(*) as n from {x} x group by 1",
-        "missed_categories": f"select *, round(missed_count / cast(total_occurrences as double), 6) as miss_rate, case when missed_count / cast(total_occurrences as double) > 0.3 then 'HIGH' when missed_count / cast(total_occurrences as double) > 0.1 then 'MEDIUM' else 'LOW' end as priority from (select ground_truth_type as category, count(*) filter (match_type = 'missed') as missed_count, count(*) filter (match_type <> 'missed') as detected_count, count(*) as total_occurrences from {m} m where match_type <> 'over_detection' group by 1) c",
+        "missed_categories": f"select *, case when total_occurrences > 0 then round(missed_count / cast(total_occurrences as double), 6) end as miss_rate, case when total_occurrences = 0 then null when missed_count / cast(total_occurrences as double) > 0.3 then 'HIGH' when missed_count / cast(total_occurrences as double) > 0.1 then 'MEDIUM' else 'LOW' end as priority from (select case when match_type = 'over_detection' then detected_type else ground_truth_type end as category, count(*) filter (match_type = 'missed') as missed_count, count(*) filter (match_type in ('exact', 'partial')) as detected_count, count(*) filter (match_type <> 'over_detection') as total_occurrences from {m} m group by 1) c",
         "category_examples": f"select m.call_id, m.ground_truth_type as category, m.ground_truth_value as value, substr(t.call_transcript, 1, 200) || '...' as original_text, substr(t.call_transcript, greatest(m.start_pos - 50, 0) + 1, m.end_pos + 50 - greatest(m.start_pos - 50, 0)) as context from {m} m join ({T.TRANSCRIPTS}) t on m.call_id = t.call_id where m.match_type = 'missed'",
         "confidence_buckets": f"select hc as high_confidence_correct, hw as high_confidence_wrong, lc as low_confidence_correct, lw as low_confidence_wrong, n as total_detections, round(a, 6) as avg_confidence, round({_share_sql('hc', '(hc + hw)')}, 6) as high_conf_accuracy, round({_share_sql('lc', '(lc + lw)')}, 6) as low_conf_accuracy from (select count(*) filter (score >= 0.8 and ok) as hc, count(*) filter (score >= 0.8 and not ok) as hw, count(*) filter (score <= 0.5 and ok) as lc, count(*) filter (score <= 0.5 and not ok) as lw, count(*) as n, avg(score) as a from ({right}) q) w",
         "confidence_thresholds": f"select cast(t as double) as threshold, count(*) filter (score >= t) as above_count, count(*) filter (score < t) as below_count, round(count(*) filter (score >= t) / cast(count(*) as double) * 100, 6) as percentage_above from {_DET} d, (select unnest([0.3, 0.5, 0.7, 0.8, 0.9]::double[]) as t) h group by t",
-        "count_discrepancy": f"select call_id, type, value, count(*) as found, 1 as expected, count(*) - 1 as discrepancy from {_GT} g group by call_id, type, value having count(*) <> 1",
+        "count_discrepancy": f"select call_id, type, value, count(*) as found, 1 as expected, count(*) - 1 as discrepancy, count(*) filter (same > 1) as shared_places from (select *, count(*) over (partition by call_id, start_pos, end_pos) as same from {_GT} g) h group by call_id, type, value having count(*) <> 1",
         "run_metrics": f"select *, {words} as estimated_time_for_1m_transcripts, 'Normalization + Detection + Sweeping' as workflow_stages, cast(2.5 as double) as total_seconds from ({run}) r",
         "sequence_id": f"select o_orderkey, {seq.format('o_orderdate, o_orderkey')} as sequence_id from orders",
         "batch_assignment": f"select cast(floor((s - 1) / 100) as bigint) as batch, count(*) as n, min(o_orderkey) as least from (select o_orderkey, {seq.format('o_orderdate, o_orderkey')} as s from orders) o group by 1",

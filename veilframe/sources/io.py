@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 TRANSCRIPTS = "call_id string, consultant_first_name string, member_number string, member_first_name string, member_full_name string, member_mobile string, member_email string, member_address string, call_transcript string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = TRANSCRIPTS) -> DataFrame:
-    """Quoted CSV with a header, line ends inside quotes allowed; without a schema all columns are strings."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: str | None = TRANSCRIPTS, multiline: bool = True) -> DataFrame:
+    """Quoted CSV with a header; without a schema all columns are strings.
+
+    Line ends inside quotes are allowed, for which a file is read whole by one task; without any, set
+    multiline to False, and large files are split.
+    """
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multiline)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -79,3 +83,22 @@ def log_metrics(metrics: DataFrame, run_id: str, table: str, distributions: dict
 def summary(metrics: DataFrame) -> str:
     """A run's metrics as lines of text."""
     return "\n".join(f"{k}: {v}" for k, v in metrics.first().asDict().items())
+
+
+def evaluation_summary(evaluated: DataFrame) -> str:
+    """Overall metrics, counts, entity types with the best recall first, and issues, as lines of text; a few rows come to the driver."""
+    from ..operators import evaluate
+
+    m = evaluate.overall_metrics(evaluated).first()
+    kinds = evaluate.by_recall(evaluate.entity_metrics(evaluated)).collect()  # a row for each type
+    issues = evaluated.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("missed", "over_detections", "partial_matches")]).first()
+    out = [f"precision {m.overall_precision:.3f}", f"recall {m.overall_recall:.3f}", f"F1 {m.overall_f1_score:.3f}", f"protected characters {m.avg_pii_protection_rate:.3f}"]
+    out += [f"true positives {m.total_true_positives:.1f}", f"false positives {m.total_false_positives}", f"false negatives {m.total_false_negatives}"]
+    out += [f"{r.entity_type}: precision {r.precision:.3f}, recall {r.recall:.3f}, F1 {r.f1_score:.3f}" for r in kinds]
+    out += [f"missed {issues.missed}", f"over-detections {issues.over_detections}", f"partial matches {issues.partial_matches}"]
+    return "\n".join([*out, f"recall target {'reached' if m.recall_target_achievement else 'not reached'}"])
+
+
+def sample(df: DataFrame, n: int = 5) -> list[dict]:
+    """The first n rows, nested values included."""
+    return [r.asDict(recursive=True) for r in df.limit(n).collect()]
