@@ -17,15 +17,14 @@ def letters(text):
     return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 256, chars_per_doc: int = 1000, docs: int = 16_384) -> dict[str, bytes]:
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 64, docs: int = 4096) -> dict[str, bytes]:
     """Raw dictionary contents by language, the most frequent first; of every language.
 
-    The bound of what is learned from: docs_per_lang documents of each language, drawn by the hash of
-    their text, and of each at most chars_per_doc characters from its middle. With more languages
-    each gives fewer documents, so that they are `docs` in all, and beyond `docs` languages one
-    each, of fewer characters (but 64 at least). Rows with a null or empty text or a null language
-    teach nothing. Copies of a text count once, so that a language with as many different texts as
-    it gives, or fewer, gives all of them.
+    The bound of what is learned from is one on rows: the whole texts of docs_per_lang documents of
+    each language, drawn by the hash of their text. With more languages each gives fewer, so that
+    they are `docs` in all, and beyond `docs` languages one each. Rows with a null or empty text or a
+    null language teach nothing. Copies of a text count once, so that a language with as many
+    different texts as it gives, or fewer, gives all of them.
     """
     h = F.xxhash64("text")
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and length(text) > 0")
@@ -34,10 +33,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_
     if not counts:
         return {}
     docs_per_lang = min(docs_per_lang, max(1, docs // len(counts)))
-    chars_per_doc = min(chars_per_doc, max(64, chars_per_doc * docs // (len(counts) * docs_per_lang)))
     drawn = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= docs_per_lang).select("lang", "h", "r")
-    at = F.greatest(F.lit(1), F.floor((F.length("text") - chars_per_doc) / 2).cast("int"))
-    some = rows.withColumn("h", h).join(F.broadcast(drawn), ["lang", "h"]).select("lang", "r", letters(F.substring("text", at, F.lit(chars_per_doc))).alias("text")).distinct()
+    some = rows.withColumn("h", h).join(F.broadcast(drawn), ["lang", "h"]).select("lang", "r", letters(F.col("text")).alias("text")).distinct()
     out: dict[str, list[str]] = {r.lang: [] for r in counts}
     for r in some.orderBy("lang", F.desc("r"), "text").collect():  # `docs` rows at most, or one for each language
         out[r.lang].append(r.text)
