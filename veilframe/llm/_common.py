@@ -124,10 +124,17 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, whatever their search path; once for each application."""
+    """Send this package to the Python workers, whatever their search path; once for each application.
+
+    Where the session has Spark's own size of Arrow batches, 10,000 rows, it is set to 1,000: rows
+    hold whole texts here, and a worker and the JVM have several copies of a batch at once.
+    """
     import os
     import zipfile
 
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -84,7 +84,7 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "tex
     def run(batches):
         model = Classifier(models.value)
         for b in batches:
-            found = [(UNKNOWN, 0.0) if t is None else model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            found = [(UNKNOWN, 0.0) if t is None else model.predict(t) for t in (x.as_py() for x in b.column(b.num_columns - 1))]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
