@@ -203,6 +203,21 @@ def links(nodes: DataFrame, radius: int = 2, words: int = 1, verify: int | None
     return out.select(F.struct(F.col("um").alias("m"), F.col("ui").alias("id")).alias("u"), F.struct(F.col("vm").alias("m"), F.col("vi").alias("id")).alias("v")).distinct()
 
 
+def links_by_any(nodes: DataFrame, radius: int = 2, words: int = 1, verify: int | None = None, block: int = 2048) -> DataFrame:
+    """The edges of links() by the first word, by the second, and so on: of all pairs within the radius in some word.
+
+    Four words with a radius of 8 find about as many pairs as one with a radius of 12, of which the
+    masks are shorter, so that their buckets grow sooner.
+    """
+    every = ["fp", *_more(words)]
+    out = None
+    for i in range(words):
+        turned = nodes.select("m", "id", *[F.col(every[(i + j) % words]).alias(c) for j, c in enumerate(every)])
+        own = links(turned, radius, words, verify, block)
+        out = own if out is None else out.union(own)
+    return out.distinct() if words > 1 else out
+
+
 def near(f: np.ndarray, radius: int, verify: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows (i < j) within the radius; f has a column for each word."""
     i, j = [], []
@@ -261,8 +276,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per document: id, the kept columns, fingerprint (16 hex digits), component_id.
 
-    component_id is the least id reachable over fingerprints with at most `radius` differing bits
-    and, with `verify`, at most so many in all `words` words of the longer fingerprint. Null and
+    component_id is the least id reachable over fingerprints with at most `radius` differing bits in
+    one of their words and, with `verify`, at most so many in all `words` words. Null and
     wordless texts have fingerprint zero and link like any other. Repeated rows are rows of
     the same component; rows with a null id count last, and a component of such rows alone has a
     null component_id. An empty table gives no rows; other columns are ignored.
@@ -273,7 +288,7 @@ def near_duplicates(
     node = F.col("fp") if words == 1 else F.xxhash64(*every)
     nodes = marked.groupBy(*every).agg(F.coalesce(F.min(F.col(id_col).cast("long")), F.lit(_LAST)).alias("m"))
     nodes = written(nodes.withColumn("id", node), "simhash-nodes")
-    parts = connected_components(links(nodes, radius, words, verify))
+    parts = connected_components(links_by_any(nodes, radius, words, verify))
     labels = parts.select(F.col("node.id").alias("id"), F.col("node.m").alias("m"), F.col("component.m").alias("least"))
     labels = nodes.join(labels, ["id", "m"], "left").select(*every, F.coalesce("least", "m").alias("least"))
     out = marked.join(labels, every)
@@ -356,20 +371,20 @@ def similar_links(members: DataFrame, similarity: float, block: int) -> DataFram
     return groups.mapInArrow(run, "u long, v long").distinct()
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, spare: int = 3, words: int = 4, block: int = 512) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8, radius: int = 8, words: int = 4, block: int = 512) -> DataFrame:
     """df with one document of each group of near-duplicates: that of the least id (nulls last, then of the least text hash).
 
     Documents are linked if the sets of their n-word shingles have that Jaccard similarity or more.
-    Fingerprints find the candidates: within a radius on the first word, with `spare` bits for what
-    chance adds there, and two standard deviations on all `words` words. Clusters of candidates are
-    then compared by their sets, so that no other documents are linked; a pair that chance takes
-    apart by more bits may be missed. Rows with the same id and text are one document and stay or go
+    Fingerprints find the candidates: within `radius` bits in one of `words` words of 64, and in all
+    words within two standard deviations of what the similarity makes differ. Clusters of candidates
+    are then compared by their sets, so that no other documents are linked; a pair that chance takes
+    apart by more bits in every word may be missed. Rows with the same id and text are one document and stay or go
     together. Null and wordless texts have nothing to compare and stay. Ids are of any type that has
     an order; all columns stay, whatever their names; an empty table gives no rows.
     """
     has_words = F.coalesce(F.col(text_col).cast("binary").cast("string").rlike("[^ \\t-\\r]"), F.lit(False))
     some = df.where(has_words).select(F.col(id_col).alias("d"), F.col(text_col).alias("x"), F.xxhash64(text_col).alias("t"))
-    found = near_duplicates(some, "t", "x", n, similar_bits(similarity, 64) + spare, (), words, similar_bits(similarity, 64 * words, 2.0))
+    found = near_duplicates(some, "t", "x", n, radius, (), words, similar_bits(similarity, 64 * words, 2.0))
     texts = written(found.groupBy("t").agg(F.min("component_id").alias("c")), "simhash-texts")
     several = texts.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
     mates = written(texts.join(several, "c"), "simhash-mates")
