@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 1024
+LEAF_CHARS = 2048
 SHORT = 12  # spans of so many bytes are remembered
 AHEAD = 3  # a contraction looks so far ahead
 
@@ -34,7 +34,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Codec:
     """Encoder and decoder of one vocabulary; caches are bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 1_000_000):
         import regex
 
         self.ranks, self.pattern, self.limit = ranks, regex.compile(pattern), cache
