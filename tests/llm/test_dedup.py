@@ -247,6 +247,29 @@ def test_passages_against_brute_force(spark, monkeypatch, kind, most, parts, bat
     assert got == passages_by_hand(rows, 12) and got
 
 
+@pytest.mark.parametrize("most,bits,joined", [(16_384, 20, False), (8, 20, False), (8, 20, True)])
+def test_passages_by_a_filter_of_keys(spark, monkeypatch, most, bits, joined):
+    """Beyond the list's bound keys go as a filter, with the same results and without a join of the texts; joined: beyond that of the filter."""
+    rng = random.Random(12)
+    rows = list(enumerate(passage_rows(rng)))
+    made = set()
+    monkeypatch.setattr(suffixes, "BROADCAST_KEYS", 20)
+    monkeypatch.setattr(suffixes, "FILTER_BITS", bits)
+    for name in ("_marked", "_filter"):
+        monkeypatch.setattr(suffixes, name, lambda *a, f=getattr(suffixes, name), name=name: made.add(name) or f(*a))
+    if joined:
+        monkeypatch.setattr(suffixes, "FILTER_KEYS", 20)
+    assert found_passages(spark, rows, "long", most=most) == passages_by_hand(rows, 12)
+    assert made == {"_marked" if joined else "_filter"}
+
+
+def test_a_filter_lets_its_keys_pass(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(2**63), 2**63, 50_000)
+    got = suffixes._filter(spark.createDataFrame([(x,) for x in keys.tolist()], "key long"), np.sort(keys[:100])).value
+    assert not got.passes(keys[:100]).any() and got.passes(keys[100:]).all() and got.passes(rng.integers(-(2**63), 2**63, 50_000)).mean() < 0.05
+
+
 def test_a_passage_repeated_within_one_document_only(spark):
     text = " ".join(f"a{i}" for i in range(30))
     assert found_passages(spark, [(None, f"{text} {text}"), (1, "other")], "long") == {}

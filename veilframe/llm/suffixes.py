@@ -22,8 +22,9 @@ from ._common import fits, fresh, written
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-#: Keys are sent to all tasks up to so many (8 MB).
+#: Keys are sent to all tasks up to so many (8 MB), beyond that up to so many as a filter of at most 1 << FILTER_BITS bits (32 MB).
 BROADCAST_KEYS = 1_000_000
+FILTER_KEYS, FILTER_BITS = 1 << 26, 28
 #: Bytes of text whose words are taken at once, and rows that are compared at once.
 SLICE, ROWS = 1 << 19, 20_000
 ALL = "all"
@@ -167,8 +168,24 @@ def _windows(s: Suffixes):
             yield {"key": s.hash(s.at[own] - (s.words - after), s.words).view(np.int64), "after": np.full(len(own), after, np.int32), "places": s.places.take(pa.array(own))}, s.row[own]
 
 
-def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of x are of the sorted keys."""
+class Filter:
+    """Stands for keys, of which each has two bits; lets some others pass, but none of `less`, which are sorted."""
+
+    def __init__(self, bits: np.ndarray, less: np.ndarray):
+        self.bits, self.less, self.shift = bits, less, np.uint64(64 - int(len(bits) * 8).bit_length() + 1)
+
+    def passes(self, x: np.ndarray) -> np.ndarray:
+        u = x.view(np.uint64)
+        out = ~_among(x, self.less)
+        for p in (u >> self.shift, u & np.uint64(len(self.bits) * 8 - 1)):
+            out &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def _among(x: np.ndarray, keys: np.ndarray | Filter) -> np.ndarray:
+    """Which of x are of the sorted keys, or pass the filter."""
+    if isinstance(keys, Filter):
+        return keys.passes(x)
     if not len(keys):
         return np.zeros(len(x), bool)
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
@@ -177,7 +194,7 @@ def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _suffixes(docs: DataFrame, words: int, k: int, make, more: str, *sets) -> DataFrame:
     """Rows of make() for the suffixes of documents (d, t, w, x: the text, and where there is one, `at`: the keys that count), with d, t and w.
 
-    Sets of keys are broadcast and sorted. Suffixes of the first set (if None, all, unless there is a
+    Sets of keys are broadcast, sorted or as a filter. Suffixes of the first set (if None, all, unless there is a
     second) are taken as they are, those of the second (or ALL) by their halves, which have to be in
     the third, if there is one.
     """
@@ -233,6 +250,30 @@ def _sent(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(np.sort(keys.select("key").toArrow().column(0).to_numpy()))
 
 
+def _filter(keys: DataFrame, less: np.ndarray):
+    """A filter of the keys, for all tasks; its pieces of 128 KB are made in parallel."""
+    spark, piece = keys.sparkSession, 20
+    size = min(FILTER_BITS, max(piece, (keys.count() * 16).bit_length()))
+    both = F.array(F.shiftrightunsigned("key", 64 - size), F.col("key").bitwiseAND(F.lit((1 << size) - 1)))
+    at = keys.select(F.explode(both).alias("p")).select(F.shiftright("p", piece).cast("int").alias("i"), F.col("p").bitwiseAND(F.lit((1 << piece) - 1)).cast("int").alias("p"))
+
+    def run(batches):
+        made = {}
+        for b in batches:
+            i, p = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for own in np.unique(i).tolist():
+                bits = made.setdefault(own, np.zeros(1 << piece, bool))
+                bits[p[i == own]] = True
+        for own, bits in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["i", "bits"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = np.zeros(1 << (size - 3), np.uint8)
+    for r in at.repartition(parts, "i").mapInArrow(run, "i int, bits binary").toLocalIterator():
+        out[r.i << (piece - 3) : (r.i + 1) << (piece - 3)] = np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast(Filter(out, less))
+
+
 def _lcp(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     """How many columns each row has in common with the row before it; 0 where the keys differ."""
     out = np.zeros(len(x), np.int64)
@@ -374,6 +415,10 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     docs = docs.select("d", "t", F.xxhash64("d", "t").alias("w"), "x")
     split = lambda met: (met.where(F.col("n") <= most), met.where(F.col("n") > most))
     sent = lambda keys: _sent(keys) if fits(keys, BROADCAST_KEYS) else None
+
+    def passing(keys, less):  # what passes a filter besides has no match; but it must not pass those of many suffixes
+        return sent(keys) or (_filter(keys, less.value) if less is not None and fits(keys, FILTER_KEYS) else None)
+
     schema = "key, r, l, right, left, places"
     cold, hot = split(_met(_suffixes(docs, words, k, _keys, "key"), "suffix-keys"))
 
@@ -382,13 +427,14 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             return _suffixes(docs, words, k, _contexts, schema, own)
         return _suffixes(_marked(docs, cold, words, k), words, k, _contexts, schema)
 
-    own = sent(cold)
+    hot_keys = sent(hot)
+    own = passing(cold, hot_keys)
     if fits(hot, 0):
         return _linked(whole(), words, k)
-    hot_keys = sent(hot)
     some, of_hot = (docs, hot_keys) if hot_keys is not None else (_marked(docs, hot, words, k), ALL)
     halves, full = split(_met(_suffixes(some, words, k, _half_keys, "key", hot_keys), "suffix-halves"))
-    half_keys = sent(halves)
+    full_keys = sent(full)
+    half_keys = passing(halves, full_keys)
     if own is not None and hot_keys is not None and half_keys is not None:
         out = _linked(_suffixes(docs, words, k, _contexts, schema, own, hot_keys, half_keys), words, k)
     else:
@@ -396,7 +442,7 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         out = _linked(whole().unionByName(rows if half_keys is not None else rows.join(halves.select("key"), "key", "left_semi")), words, k)
     if fits(full, 0):
         return out
-    return out.union(_by_windows(_suffixes(some, words, k, _windows, "key, after, places", None, of_hot, sent(full)), words))
+    return out.union(_by_windows(_suffixes(some, words, k, _windows, "key, after, places", None, of_hot, full_keys), words))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
