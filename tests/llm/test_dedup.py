@@ -68,6 +68,23 @@ def test_line_links_against_brute_force(spark, threshold, per_edit, block):
     assert line_classes(spark, lines + lines[:50], threshold, per_edit, block) == want and want
 
 
+def test_line_sketches_rule_out_only_what_is_too_far(spark):
+    """An edit changes four bits of a sketch at most; variants of a line by words, which share most of it, are nearly all ruled out."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(30)] + ["a", "é漢😀", "ab ab ab ab"]
+    near = [(a, edited(rng, a, n, "aé😀 "), n) for a in base for n in (1, 2, 3) for _ in range(20)]
+    shared = base[0].split(" ")
+    far = [" ".join([*shared[:20], *(rng.choice(words) if rng.random() < 0.1 else x for x in shared[20:])]) for _ in range(60)]
+    pairs = [(a, b, n) for a, b, n in near if b] + [(a, b, 0) for i, a in enumerate(far) for b in far[:i] if edits(a, b) > 2]
+    df = spark.createDataFrame(pairs, "a string, b string, n int")
+    apart = F.bit_count(linededup.sketch(linededup.wide(F.col("a"))).bitwiseXOR(linededup.sketch(linededup.wide(F.col("b")))))
+    got = df.select("n", apart.alias("apart")).collect()
+    assert all(r.apart <= 4 * r.n for r in got if r.n)
+    ruled = [r.apart > 8 for r in got if not r.n]
+    assert len(ruled) > 1000 and sum(ruled) >= 0.95 * len(ruled)
+
+
 def test_line_template_of_thousands_of_variants(spark):
     """Every number from 0 to 1999 is joined with others by one digit; far ones have three or four edits and are joined by a chain."""
     lines = [f"Customer {i:04} has called about an invoice." for i in range(2000)]

@@ -158,18 +158,32 @@ def distance(a: Column, b: Column, threshold: int) -> Column:
     return _once(without_start, a=a, b=b, gap=chars_in(b) - chars_in(a))
 
 
+def sketch(u: Column) -> Column:
+    """64 bits of a line as wide() gives it: of each the parity of the places whose two characters (at the end, one) hash to it.
+
+    An edit takes away two such places and adds two, at most. So it changes four bits at most, and
+    lines whose sketches differ in more than four bits for each edit need no comparison.
+    """
+
+    def flip(acc: Column, at: Column) -> Column:
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(_part(u, at, F.lit(2)))))
+
+    return F.aggregate(F.sequence(F.lit(0), chars_in(u) - 1), F.lit(0).cast("long"), flip)
+
+
 def forest(group: Column, threshold: int, per_edit: int) -> Column:
-    """The edges (u, v) of a spanning forest of the links in a group, an array of (id, own, n, line as wide() gives it).
+    """The edges (u, v) of a spanning forest of the links in a group, an array of (id, own, n, line as wide() gives it, sketch()).
 
     Of a pair one has to be there with a segment of its own. Lines that are joined already are not
-    compared again.
+    compared again, nor are those whose sketches are too far apart.
     """
 
     def near(x: Column, y: Column) -> Column:
         most = F.least(F.lit(threshold), F.floor(F.greatest(x["n"], y["n"]) / per_edit).cast("int"))
         swap = x["n"] > y["n"]
         d = distance(F.when(swap, y["u"]).otherwise(x["u"]), F.when(swap, x["u"]).otherwise(y["u"]), threshold)
-        return ((x["own"] + y["own"]) > 0) & (F.abs(x["n"] - y["n"]) <= most) & (d <= most)
+        apart = F.bit_count(x["sketch"].bitwiseXOR(y["sketch"]))
+        return ((x["own"] + y["own"]) > 0) & (F.abs(x["n"] - y["n"]) <= most) & (apart <= most * 4) & (d <= most)
 
     def column(s: Column, j: Column) -> Column:
         def cell(s: Column, i: Column) -> Column:
@@ -218,6 +232,8 @@ def links(keys: DataFrame, threshold: int = 2, per_edit: int = 8, block: int = 2
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # else few bytes would mean few tasks
     groups = dealt.repartition(parts, "h", "at").groupBy("h", "at").agg(F.collect_list(F.struct("key", "own")).alias("g"))
     line = F.transform("g", lambda x: F.struct(F.struct(*name_of(x["key"])).alias("id"), x["own"].alias("own"), F.length(x["key"]).alias("n"), wide(x["key"]).alias("u")))
+    few = F.size("g") < 4  # fewer comparisons than sketches
+    line = F.transform(line, lambda x: F.struct(x["id"].alias("id"), x["own"].alias("own"), x["n"].alias("n"), x["u"].alias("u"), F.when(few, F.lit(0).cast("long")).otherwise(sketch(x["u"])).alias("sketch")))
     edges = groups.select(F.explode(_once(lambda s: forest(s["g"], threshold, per_edit), g=line)).alias("e"))
     return edges.select("e.u", "e.v").distinct()
 
