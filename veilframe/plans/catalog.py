@@ -117,7 +117,8 @@ def _evaluated(spark, sf_dir, mode="business"):
     span = F.struct("entity_type", F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "score", "text")
     found = T.detections(spark, sf_dir).groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "entity_type", span.alias("s")))).alias("d")).select("call_id", F.transform("d", lambda x: x["s"]).alias("found"))
     truth = T.transcripts(spark, sf_dir)
-    results = truth.select("call_id", F.col("call_transcript").alias("normalized_transcript")).join(found, "call_id", "left").withColumn("pii_detections", F.coalesce("found", S.none())).drop("found")
+    # Merged, as Spark takes what is made from keys to be as small as these and would broadcast all texts.
+    results = truth.select("call_id", F.col("call_transcript").alias("normalized_transcript")).hint("merge").join(found, "call_id", "left").withColumn("pii_detections", F.coalesce("found", S.none())).drop("found").hint("merge")
     return evaluate.evaluate(evaluate.with_truth(results, truth), mode)
 
 
@@ -160,7 +161,7 @@ def _details(kind):
 
 def evaluate_pipeline(spark, sf_dir):
     """The pipeline's own detections against ground truth, on normalised texts."""
-    out = evaluate.evaluate(evaluate.with_truth(_processed(spark, sf_dir).select("call_id", "normalized_transcript", "pii_detections"), T.transcripts(spark, sf_dir)))
+    out = evaluate.evaluate(evaluate.with_truth(_processed(spark, sf_dir).select("call_id", "normalized_transcript", "pii_detections").hint("merge"), T.transcripts(spark, sf_dir)))
     return out.select("call_id", "exact_matches", "partial_matches", "missed", "over_detections", *[F.round(c, 6).alias(c) for c in _METRICS])
 
 
