@@ -10,7 +10,7 @@ def planned(spark, name):
     return catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["confidence_buckets"])
+@pytest.mark.parametrize("name", ["confidence_buckets", "confidence_by_text"])
 def test_texts_are_neither_broadcast_nor_shuffled(spark, name):
     plan = planned(spark, name)
     dealt = [x for x in plan.split("\n") if "Exchange " in x and "SinglePartition" not in x and "(is_correct" not in x]
