@@ -10,6 +10,10 @@ def planned(spark, name):
     return catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_examples_compute_the_matches_once(spark):
+    assert "size(concat(" not in planned(spark, "category_examples").replace(" ", "")
+
+
 @pytest.mark.parametrize("name", ["confidence_buckets", "confidence_by_text"])
 def test_texts_are_neither_broadcast_nor_shuffled(spark, name):
     plan = planned(spark, name)

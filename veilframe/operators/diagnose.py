@@ -53,7 +53,8 @@ def missed_categories(evaluated: DataFrame) -> DataFrame:
 def category_examples(evaluated: DataFrame, missed: bool = True, text_col: str = "original_transcript", id_col: str = "call_id") -> DataFrame:
     """A row for each missed (or found) occurrence with its context."""
     kinds = ["missed"] if missed else ["exact", "partial"]
-    rows = evaluated.select(id_col, F.col(text_col).alias("_t"), F.explode("matches").alias("m")).where(F.col("m.match_type").isin(kinds))
+    # Outer, as in match_rows().
+    rows = evaluated.select(id_col, F.col(text_col).alias("_t"), F.explode_outer("matches").alias("m")).where(F.col("m.match_type").isin(kinds))
     return rows.select(id_col, F.col("m.ground_truth_type").alias("category"), F.col("m.ground_truth_value").alias("value"), F.col("m.detected_value").alias("detected_value"), F.col("m.overlap_ratio").alias("overlap_ratio"), F.concat(F.left(F.col("_t"), F.lit(200)), F.lit("...")).alias("original_text"), context(F.col("_t"), F.col("m.start_pos"), F.col("m.end_pos")).alias("context"))
 
 
