@@ -1,5 +1,7 @@
 import pytest
 
+from veilframe.functions import rewrite as R
+from veilframe.operators import detect
 from veilframe.plans import catalog
 from veilframe.plans import transcripts as T
 
@@ -32,3 +34,21 @@ def test_detections_in_place_are_those_of_the_sql(spark, tmp_path):
     want = spark.sql(T.DETECTIONS.replace("from customer", "from {customer}"), customer=spark.read.parquet(f"{tmp_path}/customer.parquet"))
     got = T.detections(spark, str(tmp_path))
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name,most", [("pipeline_full", 70)])
+def test_texts_are_scanned_few_times(spark, name, most):
+    """Each pattern of a plan reads every text: the time of these queries grows with their number."""
+    plan = planned(spark, name)
+    assert plan.count("regexp_replace(") + plan.count("RLIKE") <= most and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("text,want", [("one two  three, four", "123, 4"), ("twenty\u00a0one tones", "201 tones"), ("\u017fix \u0131 s\u0131x S\u0130X", "6 \u0131 66"), ("no \ue000 words", "no \ue000 words"), (" seven ", " 7 ")])
+def test_number_words_in_one_pass(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(R.normalize_number_words(df.t)).first()[0] == want
+
+
+def test_addresses_that_follow_each_other(spark):
+    r = detect.detect_and_redact(spark.createDataFrame([("a@b.co1x@c.de,y@z.org",)], "call_transcript string"), recognizers=[detect.EMAIL]).first()
+    assert [(d.start, d.end, d.text) for d in r.pii_detections] == [(0, 6, "a@b.co"), (6, 13, "1x@c.de"), (14, 21, "y@z.org")]

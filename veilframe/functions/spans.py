@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rewrite import MARKS, unmarked
+from .rewrite import MARKS, headed, once, unmarked
 
 SPAN = "struct<entity_type:string,start:int,end:int,score:double,text:string>"
 SPANS = f"array<{SPAN}>"
@@ -16,10 +16,9 @@ def none() -> Column:
     return F.array().cast(SPANS)
 
 
-def found_in(text: Column, pattern: Column | str) -> Column:
-    """array of struct(start, end, text) of a pattern's matches, from left to right; a match is never empty."""
-    a, b = MARKS[:2]
-    parts = F.split(F.regexp_replace(unmarked(text), pattern, F.lit(f"{a}$0{b}")) if isinstance(pattern, Column) else F.regexp_replace(unmarked(text), pattern, f"{a}$0{b}"), f"[{a}{b}]", -1)
+def found_in(text: Column, pattern: Column | str, clean: bool = False) -> Column:
+    """array of struct(start, end, text) of a pattern's matches, from left to right; a match is never empty. `clean`: the text is unmarked() already."""
+    a = MARKS[0]
     kind = "array<struct<start:int,end:int,text:string>>"
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(kind).alias("block"), F.array().cast(f"array<{kind}>").alias("out"))
 
@@ -29,7 +28,12 @@ def found_in(text: Column, pattern: Column | str) -> Column:
         found = s["odd"] & (F.length(p) > 0)
         return F.struct(end.alias("at"), (~s["odd"]).alias("odd"), F.when(found, block).otherwise(s["block"]).alias("block"), F.when(found, out).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda s: F.flatten(F.concat(s["out"], F.array(s["block"]))))
+    def read(marked: Column) -> Column:
+        every = F.aggregate(F.split(marked, a, -1), zero, step, lambda s: F.flatten(F.concat(s["out"], F.array(s["block"]))))
+        return F.when(F.contains(marked, F.lit(a)), every).when(marked.isNotNull(), F.array().cast(kind))
+
+    own = text if clean else unmarked(text)
+    return once(F.regexp_replace(own, pattern, F.lit(f"{a}$0{a}") if isinstance(pattern, Column) else f"{a}$0{a}"), read)
 
 
 def positions(text: Column, pattern: Column | str) -> Column:
@@ -43,15 +47,24 @@ def grown(block: Column, out: Column, item: Column, kind: str) -> tuple[Column,
     return F.when(full, F.array(item).cast(kind)).otherwise(F.concat(block, F.array(item))), F.when(full, F.concat(out, F.array(block))).otherwise(out)
 
 
-def literal_positions(text: Column, value: Column) -> Column:
-    """Where a value occurs whatever the case, overlapping places too."""
+def lowered(text: Column) -> Column:
+    """A text as literal_positions() looks through it."""
+    return F.lower(unmarked(text))
+
+
+def literal_positions(text: Column, value: Column, low: Column | None = None) -> Column:
+    """Where a value occurs whatever the case, overlapping places too. `low` is lowered(text), where many values are looked for."""
+    return once(F.struct((lowered(text) if low is None else low).alias("low"), F.lower(value).alias("want")), lambda s: _literal(s["low"], s["want"]))
+
+
+def _literal(low: Column, want: Column) -> Column:
     from .rewrite import escaped
 
     a = MARKS[0]
-    low, want = F.lower(unmarked(text)), F.lower(value)
     n = F.length(want)
     # Places can only overlap if the value begins as it ends; all others are found without a pattern made for the row.
-    folds = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: (k < n) & (F.left(want, k) == F.right(want, k)))
+    again = F.contains(F.substring(want, F.lit(2), n), F.left(want, F.lit(1)))
+    folds = again & F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: (k < n) & (F.left(want, k) == F.right(want, k)))
     apart = F.split(F.replace(low, want, F.lit(a)), a, -1)
     meeting = F.split(F.regexp_replace(low, F.concat(F.lit("(?="), escaped(want), F.lit(")")), F.lit(a)), a, -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
@@ -67,7 +80,7 @@ def literal_positions(text: Column, value: Column) -> Column:
     return F.when(F.contains(low, want) & (n > 0), every).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
-def word_positions(text: Column, value: Column) -> Column:
+def word_positions(text: Column, value: Column, low: Column | None = None) -> Column:
     """Where a value occurs as whole words, whatever the case, and neither joined to letters, digits, dots, hyphens or underscores before it nor part of a mail address."""
 
     def alone(p: Column) -> Column:
@@ -77,21 +90,16 @@ def word_positions(text: Column, value: Column) -> Column:
         edge = r"(?Us)^(?:\w\W|\W\w)$"
         return left.rlike(edge) & ~left.rlike("^[a-zA-Z0-9._-]") & right.rlike(edge) & ~F.substring(text, p["end"] + 1, F.length(text)).rlike("^[a-zA-Z0-9._-]*@")
 
-    return F.filter(literal_positions(text, value), alone)
+    return F.filter(literal_positions(text, value, low), alone)
 
 
-def find_spans(text: Column, pattern: str, entity: str, score: float) -> Column:
+def find_spans(text: Column, pattern: str, entity: str, score: float, first: str = "", clean: bool = False) -> Column:
     """The spans of a pattern's matches; a match's text is taken where it is found, as counting to it from the start of the text costs that much for each."""
 
     def span(p: Column) -> Column:
         return F.struct(F.lit(entity).alias("entity_type"), p["start"].alias("start"), p["end"].alias("end"), F.lit(float(score)).alias("score"), p["text"].alias("text"))
 
-    return F.when(text.rlike(pattern), F.transform(found_in(text, pattern), span)).otherwise(none())
-
-
-def once(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f, or a lambda in it, uses it."""
-    return F.transform(F.array(value), f)[0]
+    return F.coalesce(F.transform(found_in(text, headed(pattern, first), clean), span), none())
 
 
 def clusters(spans: Column) -> Column:

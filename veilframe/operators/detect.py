@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,16 @@ from ..functions.constants import ENTITIES, STATES, STREETS
 
 @dataclass(frozen=True)
 class Recognizer:
-    """An entity's patterns (name, regular expression, score). `needs` is a cheap pattern that any match contains."""
+    """An entity's patterns (name, regular expression, score). `needs` is a cheap pattern that any match contains, `first` a class that its
+    first character is in; `parts` has a text for each pattern that its matches contain."""
 
     entity: str
     patterns: tuple[tuple[str, str, float], ...]
     context: tuple[str, ...] = ()
     needs: str = ""
     luhn: bool = False
+    first: str = ""
+    parts: tuple[str, ...] = ()
 
 
 # The number, phone and address patterns with their scores.
@@ -36,6 +40,8 @@ AU_PHONE = Recognizer(
     ),
     ("phone", "mobile", "cell", "number", "call"),
     needs=r"(?U)\d{3}",
+    first="[0+]",
+    parts=("0", "04", "04", "+61", "04"),
 )
 GENERIC_NUMBER = Recognizer(
     "GENERIC_NUMBER",
@@ -47,6 +53,7 @@ GENERIC_NUMBER = Recognizer(
     ),
     ("number", "digit", "id", "member", "account"),
     needs=r"(?U)\d",
+    first=r"\d",
 )
 AU_ADDRESS = Recognizer(
     "AU_ADDRESS",
@@ -55,12 +62,13 @@ AU_ADDRESS = Recognizer(
         ("australian_street_simple", rf"(?iU){_STREET}", 0.7),
     ),
     needs=r"(?U)\d\s+[A-Za-z]",
+    first=r"\d",
 )
 # The member number patterns with their scores.
-MEMBER_NUMBER = Recognizer("MEMBER_NUMBER", (("member_number_8_digits", r"(?U)\b\d{8}\b", 0.9), ("member_number_with_spaces", r"(?U)\b\d{4}\s?\d{4}\b", 0.85)), needs=r"(?U)\d{4}")
+MEMBER_NUMBER = Recognizer("MEMBER_NUMBER", (("member_number_8_digits", r"(?U)\b\d{8}\b", 0.9), ("member_number_with_spaces", r"(?U)\b\d{4}\s?\d{4}\b", 0.85)), needs=r"(?U)\d{4}", first=r"\d")
 
 # Our own rules for the types that a library or a model would find.
-EMAIL = Recognizer("EMAIL_ADDRESS", (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),), needs="@")
+EMAIL = Recognizer("EMAIL_ADDRESS", (("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0),), needs="@")
 PHONE = Recognizer(
     "PHONE_NUMBER",
     (
@@ -69,11 +77,13 @@ PHONE = Recognizer(
         ("mobile", r"(?U)(?<!\w)04\d{2}[ -]?\d{3}[ -]?\d{3}(?!\w)", 0.75),
     ),
     needs=r"(?U)\d{3}",
+    first="[(+0]",
+    parts=("(", "+", "04"),
 )
-CREDIT_CARD = Recognizer("CREDIT_CARD", (("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 1.0),), needs=r"[0-9]{2}", luhn=True)
+CREDIT_CARD = Recognizer("CREDIT_CARD", (("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 1.0),), needs=r"[0-9]{2}", luhn=True, first="[0-9]")
 _CITIES = ("Sydney", "Melbourne", "Brisbane", "Perth", "Adelaide", "Hobart", "Darwin", "Canberra", "Newcastle", "Geelong", "Cairns", "Townsville")
-LOCATION = Recognizer("LOCATION", (("city", rf"(?U)\b(?:{'|'.join(_CITIES)})\b", 0.6),), needs="[A-Z]")
-PERSON = Recognizer("PERSON", (("cue", r"(?U)(?<=\b(?:[Mm]y name is|[Nn]ame is|[Tt]his is|I am|I'm|Mr\.?|Mrs\.?|Ms\.?|Dr\.?)\s)[A-Z][a-z]+(?:\s[A-Z][a-z]+){0,2}\b", 0.6),), needs="[A-Z]")
+LOCATION = Recognizer("LOCATION", (("city", rf"(?U)\b(?:{'|'.join(_CITIES)})\b", 0.6),), needs="[A-Z]", first="[A-Z]")
+PERSON = Recognizer("PERSON", (("cue", r"(?U)(?<=\b(?:[Mm]y name is|[Nn]ame is|[Tt]his is|I am|I'm|Mr\.?|Mrs\.?|Ms\.?|Dr\.?)\s)[A-Z][a-z]+(?:\s[A-Z][a-z]+){0,2}\b", 0.6),), needs="[A-Z]", first="[A-Z]")
 
 DEFAULT = (PERSON, EMAIL, PHONE, LOCATION, CREDIT_CARD, AU_PHONE, AU_ADDRESS, GENERIC_NUMBER)
 
@@ -87,19 +97,20 @@ def people(names: Sequence[str], score: float = 0.85) -> Recognizer:
 
 def detect(text: Column, recognizers: Sequence[Recognizer] = DEFAULT, entities: Sequence[str] | None = ENTITIES, context: float = 0.0) -> Column:
     """An array of spans by type, then place. With `context`, scores rise by it (up to 1) where a text has one of the type's context words."""
-    found = []
-    for r in recognizers:
-        if entities is not None and r.entity not in entities:
-            continue
-        own = F.concat(*[S.find_spans(text, p, r.entity, score) for _, p, score in r.patterns])
+    use = [r for r in recognizers if entities is None or r.entity in entities]
+
+    def own(r: Recognizer, t: Column) -> Column:
+        every = [S.find_spans(t, p, r.entity, score, r.first, clean=True) for _, p, score in r.patterns]
+        out = F.concat(*[F.when(F.contains(t, F.lit(part)), x).otherwise(S.none()) if part else x for x, part in zip_longest(every, r.parts, fillvalue="")])
         if r.luhn:
-            own = F.filter(own, lambda s: F.call_function("luhn_check", F.regexp_replace(s["text"], "[^0-9]", "")))
-        own = S.within_type(own) if len(r.patterns) > 1 else own
+            out = F.filter(out, lambda s: F.call_function("luhn_check", F.regexp_replace(s["text"], "[^0-9]", "")))
+        out = S.within_type(out) if len(r.patterns) > 1 else out
         if context and r.context:
-            more = F.when(F.lower(text).rlike(rf"(?U)\b(?:{'|'.join(r.context)})\b"), F.lit(context)).otherwise(F.lit(0.0))
-            own = F.transform(own, lambda s: s.withField("score", F.least(F.lit(1.0), s["score"] + more)))
-        found.append(F.when(text.rlike(r.needs), own).otherwise(S.none()) if r.needs else own)
-    return F.concat(*found) if found else S.none()
+            more = F.when(F.lower(t).rlike(rf"(?U)\b(?:{'|'.join(r.context)})\b"), F.lit(context)).otherwise(F.lit(0.0))
+            out = F.transform(out, lambda s: s.withField("score", F.least(F.lit(1.0), s["score"] + more)))
+        return F.when(t.rlike(r.needs), out).otherwise(S.none()) if r.needs else out
+
+    return S.once(S.unmarked(text), lambda t: F.concat(*[own(r, t) for r in use])) if use else S.none()
 
 
 def _counters(detections: Column) -> Column:

@@ -17,27 +17,31 @@ MATCH = "array<struct<ground_truth_value:string,ground_truth_type:string,detecte
 PHONES = (r"(?U)\b0[2-9]\s?\d{4}\s?\d{4}\b", r"(?U)\b04\d{2}\s?\d{3}\s?\d{3}\b", r"(?U)(?<!\w)\+61\s?[2-9]\s?\d{4}\s?\d{4}\b", r"(?U)\b04\d{4}\s?\d{3}\s?\d{3}\b")
 
 
-def value_positions(text: Column, value: Column, kind: str) -> Column:
-    """Where a field's value occurs: names as whole words outside addresses, phones by digits, others literally."""
+def value_positions(text: Column, value: Column, kind: str, low: Column | None = None) -> Column:
+    """Where a field's value occurs: names as whole words outside addresses, phones by digits, others literally. `low`: see literal_positions()."""
     if kind in NAME_FIELDS:
-        found = F.when(F.length(value) > 1, S.word_positions(text, value))
+        found = F.when(F.length(value) > 1, S.word_positions(text, value, low))
     elif kind == "member_mobile":
-        digits = F.regexp_replace(value, r"(?U)[^\d]", "")
-        every = F.concat(*[F.when(text.rlike(p), S.positions(text, p)).otherwise(F.array().cast("array<struct<start:int,end:int>>")) for p in PHONES])
-        found = F.filter(every, lambda p: F.regexp_replace(F.substring(text, p["start"] + 1, p["end"] - p["start"]), r"(?U)[^\d]", "") == digits)
+        def same(digits: Column) -> Column:
+            every = F.concat(*[S.found_in(text, S.headed(p, "[0+]")) for p in PHONES])
+            return F.transform(F.filter(every, lambda p: F.regexp_replace(p["text"], r"(?U)[^\d]", "") == digits), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+
+        found = S.once(F.regexp_replace(value, r"(?U)[^\d]", ""), same)
     else:
-        found = S.literal_positions(text, value)
+        found = S.literal_positions(text, value, low)
     return F.array_sort(F.array_distinct(found))
 
 
 def ground_truth(text: Column, fields: Sequence[str]) -> Column:
     """All occurrences of the fields' values in a text; null and blank values have none."""
-    def own(kind: str) -> Column:
-        value = F.regexp_replace(F.col(kind).cast("string"), r"(?U)^\s+|\s+\z", "")
-        rows = F.transform(value_positions(text, value, kind), lambda p: F.struct(F.lit(kind).alias("type"), value.alias("value"), p["start"].alias("start"), p["end"].alias("end")))
-        return F.when(value != "", rows).cast(TRUTH)
+    def own(kind: str, low: Column) -> Column:
+        def rows(value: Column) -> Column:
+            found = F.transform(value_positions(text, value, kind, low), lambda p: F.struct(F.lit(kind).alias("type"), value.alias("value"), p["start"].alias("start"), p["end"].alias("end")))
+            return F.when(value != "", found).cast(TRUTH)
+
+        return S.once(F.regexp_replace(F.col(kind).cast("string"), r"(?U)^\s+|\s+\z", ""), rows)
 
-    return F.concat(*[F.coalesce(own(kind), F.array().cast(TRUTH)) for kind in fields])
+    return S.once(S.lowered(text), lambda low: F.concat(*[F.coalesce(own(kind, low), F.array().cast(TRUTH)) for kind in fields]))
 
 
 def occurrences(df: DataFrame, id_col: str = "call_id", text_col: str = "call_transcript", fields: Sequence[str] = GROUND_TRUTH_FIELDS) -> DataFrame:
