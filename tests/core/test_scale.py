@@ -36,7 +36,7 @@ def test_detections_in_place_are_those_of_the_sql(spark, tmp_path):
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name,most", [("evaluate", 100), ("entity_metrics", 50), ("worst_cases", 50), ("entity_ranking", 50), ("missed_categories", 50), ("missed_pii", 50), ("process_dataset_baseline", 35), ("transcript_metrics", 50), ("overall_metrics", 50), ("partial_matches", 50), ("over_detections", 50), ("match_research", 50), ("count_discrepancy", 50), ("protection_status", 50), ("occurrence_breakdown", 50), ("process_dataset", 75), ("pipeline_full", 70)])
+@pytest.mark.parametrize("name,most", [("evaluate", 100), ("entity_metrics", 50), ("worst_cases", 50), ("entity_ranking", 50), ("missed_categories", 50), ("missed_pii", 50), ("process_dataset_baseline", 35), ("transcript_metrics", 50), ("overall_metrics", 50), ("partial_matches", 50), ("over_detections", 50), ("match_research", 50), ("count_discrepancy", 50), ("protection_status", 50), ("occurrence_breakdown", 50), ("match_business", 50), ("process_dataset", 75), ("pipeline_full", 70)])
 def test_texts_are_scanned_few_times(spark, name, most):
     """Each pattern of a plan reads every text: the time of these queries grows with their number."""
     plan = planned(spark, name)
