@@ -52,3 +52,11 @@ def test_number_words_in_one_pass(spark, text, want):
 def test_addresses_that_follow_each_other(spark):
     r = detect.detect_and_redact(spark.createDataFrame([("a@b.co1x@c.de,y@z.org",)], "call_transcript string"), recognizers=[detect.EMAIL]).first()
     assert [(d.start, d.end, d.text) for d in r.pii_detections] == [(0, 6, "a@b.co"), (6, 13, "1x@c.de"), (14, 21, "y@z.org")]
+
+
+@pytest.mark.parametrize("name", ["confidence_thresholds"])
+def test_rows_of_a_partition_have_a_bound(spark, monkeypatch, name):
+    """No step puts texts or detections into as few partitions as there are cores, whatever their number."""
+    monkeypatch.setattr(T, "KEYS", 10)
+    dealt = [x for x in planned(spark, name).split("\n") if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" in x]
+    assert dealt and all("(cast(c_custkey" in x and "15), REPARTITION_BY_NUM" in x for x in dealt)
