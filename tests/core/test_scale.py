@@ -54,7 +54,7 @@ def test_addresses_that_follow_each_other(spark):
     assert [(d.start, d.end, d.text) for d in r.pii_detections] == [(0, 6, "a@b.co"), (6, 13, "1x@c.de"), (14, 21, "y@z.org")]
 
 
-@pytest.mark.parametrize("name", ["confidence_thresholds"])
+@pytest.mark.parametrize("name", ["confidence_thresholds", "pii_types"])
 def test_rows_of_a_partition_have_a_bound(spark, monkeypatch, name):
     """No step puts texts or detections into as few partitions as there are cores, whatever their number."""
     monkeypatch.setattr(T, "KEYS", 10)
